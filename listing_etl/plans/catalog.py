@@ -99,3 +99,28 @@ QUERIES = {
     "return_rate": return_rate,
 }
 FLAGSHIP = history_decode
+
+
+# ------------------------------------------------------------------ page job
+
+def page_fields_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAGE1-PAGE3, PAGE8, UDF3 on the ``pages`` table (generic preset)."""
+    from listing_etl.operators import pages as P
+    pg = T.table(spark, sf_dir, "pages")
+    x = P.extract(pg, P.TEST_PAGE, ["page_id"])
+    return x.select("page_id", *[S.ustrip(c).alias(c) for c in ("title", "h1", "ad", "first_p", "footer")],
+                    "n_p", F.size("links").alias("n_links"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAGE5, PAGE6, EXP1: one row per ``a[href]`` in document order."""
+    from listing_etl.operators import pages as P
+    x = P.extract(T.table(spark, sf_dir, "pages"), P.TEST_PAGE, ["page_id"])
+    e = R.explode_children(x, ["page_id"], "links", {"href": "href", "text": "text"})
+    return e.select("page_id", "pos", "href", S.ustrip("text").alias("text"))
+
+
+QUERIES.update({
+    "page_fields_parsed": page_fields_parsed,
+    "page_links": page_links,
+})

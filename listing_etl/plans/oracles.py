@@ -156,3 +156,41 @@ ORACLES = {
     "previous_price": PREVIOUS_PRICE,
     "return_rate": RETURN_RATE,
 }
+
+
+def unescape(e: str) -> str:
+    """The four entities of the test pages; '&amp;' last so it is not decoded twice."""
+    return (f"replace(replace(replace(replace({e}, '&quot;', '\"'), '&middot;', '·'), "
+            f"'&copy;', '©'), '&amp;', '&')")
+
+
+def tag_text(e: str) -> str:
+    return ustrip(unescape(f"regexp_replace({e}, '(?s)<[^>]*>', '', 'g')"))
+
+
+PAGE_FIELDS_PARSED = f"""
+SELECT page_id,
+  {tag_text("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+  {tag_text("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
+  {tag_text("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")} AS ad,
+  {tag_text("regexp_extract(html, '(?s)<p>(.*?)(<p>|</p>|</article>)', 1)")} AS first_p,
+  {tag_text("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS footer,
+  CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_p,
+  CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links
+FROM pages
+"""
+
+PAGE_LINKS = f"""
+WITH l AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 1)) AS href,
+         unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 2)) AS txt,
+         unnest(range(len(regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 1)))) AS pos
+  FROM pages
+)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, {unescape('href')} AS href, {tag_text('txt')} AS text FROM l
+"""
+
+ORACLES.update({
+    "page_fields_parsed": PAGE_FIELDS_PARSED,
+    "page_links": PAGE_LINKS,
+})
