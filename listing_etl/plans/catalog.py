@@ -124,3 +124,78 @@ QUERIES.update({
     "page_fields_parsed": page_fields_parsed,
     "page_links": page_links,
 })
+
+
+# -------------------------------------------------------------- product flow
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_etl.plans import products as PR
+    return PR.parse_products(T.product_pages(spark, sf_dir), keys=["request_id", "scrape_seq"])
+
+
+def product_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLD1-FLD9, SCL1-SCL6, EXP4, SNK1 (V1 details row)."""
+    from listing_etl.plans import products as PR
+    return PR.details(_parsed(spark, sf_dir), ["request_id"])
+
+
+def products_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLD1-FLD9, SCL4 (V2 rule), SCL7, EXP4, SNK5 (V2 wide row)."""
+    from listing_etl.plans import products as PR
+    return PR.wide(_parsed(spark, sf_dir), ["request_id"])
+
+
+def product_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLD6, PAGE6, EXP1, SNK2."""
+    from listing_etl.plans import products as PR
+    return PR.images(_parsed(spark, sf_dir), ["request_id"])
+
+
+def reviews_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLD10, PAGE7, EXP2, SNK3."""
+    from listing_etl.plans import products as PR
+    return PR.reviews(_parsed(spark, sf_dir), ["request_id"])
+
+
+def offers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLD11, EXP3, SNK4 (V1 offers)."""
+    from listing_etl.plans import products as PR
+    return PR.offers(_parsed(spark, sf_dir), ["request_id"], "details")
+
+
+def offers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLD12 (V2 offers: name, price text, condition, shipping)."""
+    from listing_etl.plans import products as PR
+    return PR.offers(_parsed(spark, sf_dir), ["request_id"], "wide")
+
+
+def product_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REJ for the page stage: one row per (request, code)."""
+    from listing_etl.plans import products as PR
+    return PR.rejects(_parsed(spark, sf_dir))
+
+
+def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT2, SRC1, SRC2: requests by outcome (first fatal code, else ok)."""
+    from listing_etl.plans import report as RP
+    return RP.request_status(_parsed(spark, sf_dir), "details")
+
+
+def product_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT1, SCL9, SCL10, AGG1-AGG3 with the rating scorer."""
+    from listing_etl.plans import report as RP
+    return RP.product_report(_parsed(spark, sf_dir), ["request_id"])
+
+
+QUERIES.update({
+    "product_details": product_details,
+    "products_wide": products_wide,
+    "product_images": product_images,
+    "reviews_rows": reviews_rows,
+    "offers_rows": offers_rows,
+    "offers_wide": offers_wide,
+    "product_rejects": product_rejects,
+    "request_status": request_status,
+    "product_report": product_report,
+})
+FLAGSHIP = product_report

@@ -194,3 +194,181 @@ ORACLES.update({
     "page_fields_parsed": PAGE_FIELDS_PARSED,
     "page_links": PAGE_LINKS,
 })
+
+
+# ------------------------------------------------------------- product flow
+# Expected record per scrape (lineitem row), restated from the page rules.
+_SCRAPES = """
+s0 AS (
+  SELECT printf('%d-%d-%d-%d', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id,
+         l_orderkey * 8 + l_linenumber AS scrape_seq, l_orderkey AS o, l_linenumber AS ln,
+         l_partkey AS pk, l_suppkey AS sk, p_name, p_brand, p_type, s_name, l_quantity,
+         l_linestatus, l_returnflag, l_shipdate,
+         floor(round(l_extendedprice * 100)::BIGINT / l_quantity::BIGINT)::BIGINT AS unit,
+         round(l_discount * 100)::BIGINT AS disc, round(l_tax * 100)::BIGINT AS tax
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+),
+s1 AS (
+  SELECT *, CASE WHEN disc > 0 THEN floor(unit * (100 - disc) / 100)::BIGINT END AS used,
+         floor(unit * (100 + tax) / 100)::BIGINT AS offer,
+         (o * 7 + ln) % 50 = 0 AS failed, (o + ln) % 20 AS pv, ln <> 5 AS has_offer
+  FROM s0
+),
+s2 AS (
+  SELECT *, used IS NOT NULL AS has_used, (used IS NOT NULL AND ln = 7 AND o % 3 = 0) AS used_bad FROM s1
+),
+s AS (
+  SELECT *,
+    CASE WHEN pv = 1 THEN NULL
+         WHEN pv = 0 THEN CASE WHEN has_used THEN (CASE WHEN used_bad THEN NULL ELSE used / 100.0 END)
+                               WHEN has_offer THEN offer / 100.0 ELSE 0.0 END
+         ELSE unit / 100.0 END AS price,
+    CASE WHEN has_used THEN (CASE WHEN used_bad THEN NULL ELSE used / 100.0 END) ELSE 0.0 END AS used_price,
+    CASE WHEN (o + 2 * ln) % 40 = 0 THEN 'NA' ELSE p_name END AS title,
+    CASE WHEN ln = 6 THEN 'NA' ELSE CAST(CAST(l_quantity * 37 AS BIGINT) AS VARCHAR) || ' ratings' END AS reviews_count,
+    CASE WHEN o % 9 IN (0, 1) THEN 'NA'
+         WHEN l_linestatus = 'O' THEN 'Only ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' left in stock order soon.'
+         ELSE 'In Stock' END AS availability,
+    CASE WHEN ln = 2 THEN 'NA' ELSE p_type || ' ' || p_brand END AS description,
+    CASE WHEN sk % 5 = 0 THEN 'Amazon' ELSE s_name END AS seller,
+    CASE WHEN NOT has_used THEN 'NA'
+         ELSE ['Like New', 'Very Good', 'Like', 'NA', 'Good', 'Acceptable', 'Good'][ln] END AS used_condition,
+    CASE WHEN NOT has_used THEN 'NA'
+         ELSE ['Like New', 'Very Good', 'Like', 'Used', 'Good', 'Acceptable', 'Good'][ln] END AS used_condition_wide,
+    has_offer AND sk % 11 = 0 AS seller_bad
+  FROM s2
+),
+d AS (
+  SELECT *, CASE WHEN price > 0 AND used_price > 0
+                 THEN {rnd2} ELSE 0.0 END AS discount,
+         NOT failed AND price IS NOT NULL AND used_price IS NOT NULL AS ok_wide
+  FROM s
+),
+p AS (SELECT *, ok_wide AND NOT seller_bad AS ok FROM d)
+""".replace("{rnd2}", rnd2("(price - used_price) / price * 100.0"))
+
+_REVIEWS = f"""
+rv AS (
+  SELECT doc.doc_id // 3 AS o, doc.doc_id,
+         (row_number() OVER (PARTITION BY doc.doc_id // 3 ORDER BY doc.doc_id) - 1)::INTEGER AS pos,
+         'Review ' || doc.doc_id AS review_title,
+         CASE WHEN lab.quality IS NULL THEN '3.0' ELSE CAST(lab.quality * 4 + 1 AS VARCHAR) || '.0' END
+           || ' out of 5 stars' AS review_rating,
+         {ustrip('doc.text')} AS review_text,
+         CASE WHEN doc.doc_id % 11 = 0 THEN 'NA' ELSE doc.source END AS review_author,
+         'Reviewed in ' || doc.lang AS review_date,
+         coalesce(lab.quality, 0) = 1 AS positive
+  FROM documents doc LEFT JOIN labels lab ON doc.doc_id = lab.doc_id
+)
+"""
+
+PRODUCT_DETAILS = f"""
+WITH {_SCRAPES}
+SELECT request_id, title, price, reviews_count, availability, description, discount, used_price, used_condition
+FROM p WHERE ok
+"""
+
+PRODUCTS_WIDE = f"""
+WITH {_SCRAPES}
+SELECT request_id, title, price, reviews_count, availability, description,
+  '{{' || array_to_string(list_transform(list_filter(range(1, ln + 1), lambda i: i <> 2),
+        lambda i: '"https://img.example.com/' || pk || '/' || i || '.jpg"'), ',') || '}}' AS images,
+  seller, used_price, used_condition_wide AS used_condition, discount
+FROM p WHERE ok_wide
+"""
+
+PRODUCT_IMAGES = f"""
+WITH {_SCRAPES},
+im AS (SELECT request_id, title, pk, unnest(list_filter(range(1, ln + 1), lambda i: i <> 2)) AS i FROM p WHERE ok)
+SELECT request_id, title AS product_title,
+       (row_number() OVER (PARTITION BY request_id ORDER BY i) - 1)::INTEGER AS pos,
+       'https://img.example.com/' || pk || '/' || i || '.jpg' AS image_url
+FROM im
+"""
+
+REVIEWS_ROWS = f"""
+WITH {_SCRAPES}, {_REVIEWS}
+SELECT p.request_id, p.title AS product_title, rv.pos, rv.review_title, rv.review_rating, rv.review_text,
+       rv.review_author, rv.review_date
+FROM p JOIN rv ON p.o = rv.o AND p.ln = 1
+WHERE p.ok
+"""
+
+OFFERS_ROWS = f"""
+WITH {_SCRAPES}
+SELECT request_id, title AS product_title, 0 AS pos,
+       CASE WHEN sk % 7 = 0 THEN 'NA' ELSE s_name END AS seller_name,
+       CAST(offer // 100 AS DOUBLE) AS price
+FROM p WHERE ok AND has_offer
+"""
+
+OFFERS_WIDE = f"""
+WITH {_SCRAPES}
+SELECT request_id, title AS product_title, 0 AS pos,
+       CASE WHEN sk % 7 = 0 THEN 'Unknown' ELSE s_name END AS name,
+       '₹' || printf('%.2f', offer / 100.0) AS price,
+       CASE WHEN sk % 4 = 0 THEN 'NA' WHEN l_returnflag = 'R' THEN 'Used - Good' ELSE 'New' END AS condition,
+       CASE WHEN sk % 3 = 0 THEN 'Free' ELSE 'Delivery by ' || strftime(l_shipdate, '%Y-%m-%d') || ' fast' END
+         AS shipping
+FROM p WHERE ok_wide AND has_offer
+"""
+
+PRODUCT_REJECTS = f"""
+WITH {_SCRAPES}
+SELECT request_id, 'page' AS stage, code, detail FROM (
+  SELECT request_id, 'PAGE_HTTP_FAILED' AS code, NULL AS detail FROM p WHERE failed
+  UNION ALL
+  SELECT request_id, 'BAD_PRICE',
+         CASE WHEN pv = 1 THEN '$' || format('{{:,.2f}}', unit / 100.0) || ' - $' || format('{{:,.2f}}', unit * 2 / 100.0)
+              ELSE 'see options' END
+  FROM p WHERE NOT failed AND price IS NULL
+  UNION ALL
+  SELECT request_id, 'BAD_USED_PRICE', 'see options' FROM p WHERE NOT failed AND used_price IS NULL
+  UNION ALL
+  SELECT request_id, 'BAD_SELLER_PRICE', '1' FROM p WHERE NOT failed AND seller_bad
+  UNION ALL
+  SELECT request_id, 'AVAILABILITY_NO_SPAN', NULL FROM p WHERE NOT failed AND o % 9 = 1
+)
+"""
+
+REQUEST_STATUS = f"""
+WITH {_SCRAPES}
+SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN failed THEN 'PAGE_HTTP_FAILED' WHEN price IS NULL THEN 'BAD_PRICE'
+              WHEN used_price IS NULL THEN 'BAD_USED_PRICE' WHEN seller_bad THEN 'BAD_SELLER_PRICE'
+              ELSE 'ok' END AS status
+  FROM p)
+GROUP BY status
+"""
+
+PRODUCT_REPORT = f"""
+WITH {_SCRAPES}, {_REVIEWS},
+g AS (
+  SELECT p.request_id, count(*) AS n, count(*) FILTER (WHERE rv.positive) AS positive
+  FROM p JOIN rv ON p.o = rv.o AND p.ln = 1 WHERE p.ok GROUP BY p.request_id
+),
+r AS (
+  SELECT p.*, coalesce(g.n, 0) AS n, coalesce(g.positive, 0) AS positive,
+         CASE WHEN coalesce(g.n, 0) > 0 THEN {rnd2('(g.n - g.positive) / g.n * 100.0')} ELSE 0.0 END AS return_rate
+  FROM p LEFT JOIN g ON p.request_id = g.request_id WHERE p.ok
+)
+SELECT request_id, title, printf('%.2f', price) AS price_text, printf('%.2f', used_price) AS used_price_text,
+       used_condition,
+       CASE WHEN price > 0 AND used_price > 0 THEN CAST(discount AS VARCHAR) || '%' ELSE '0%' END AS discount_text,
+       n AS n_reviews, positive AS n_positive, return_rate,
+       printf('%.2f', return_rate) || '%' AS return_rate_text, return_rate / 100.0 AS progress,
+       CASE WHEN has_offer THEN 1 ELSE 0 END AS n_offers, CAST(ln - (CASE WHEN ln >= 2 THEN 1 ELSE 0 END) AS INTEGER) AS n_images
+FROM r
+"""
+
+ORACLES.update({
+    "product_details": PRODUCT_DETAILS,
+    "products_wide": PRODUCTS_WIDE,
+    "product_images": PRODUCT_IMAGES,
+    "reviews_rows": REVIEWS_ROWS,
+    "offers_rows": OFFERS_ROWS,
+    "offers_wide": OFFERS_WIDE,
+    "product_rejects": PRODUCT_REJECTS,
+    "request_status": REQUEST_STATUS,
+    "product_report": PRODUCT_REPORT,
+})

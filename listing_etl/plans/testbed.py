@@ -131,3 +131,145 @@ def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_record(doc_id) -> Column:
     """Product page (request id ``orderkey-1``) that document ``doc_id`` reviews."""
     return F.concat(F.floor(doc_id / REVIEWS_PER_PAGE).cast("bigint").cast("string"), F.lit("-1"))
+
+
+# ------------------------------------------------------------- product pages
+
+def _esc(c: Column) -> Column:
+    """HTML-escape text (& first)."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _money(cents: Column) -> Column:
+    return F.format_number(cents / 100.0, 2)
+
+
+def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scrape per lineitem row with the numbers its page shows (integer cents)."""
+    li = table(spark, sf_dir, "lineitem")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    x = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
+    o, ln, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    unit = F.floor(F.round(F.col("l_extendedprice") * 100).cast("bigint") / F.col("l_quantity").cast("bigint"))
+    disc = F.round(F.col("l_discount") * 100).cast("bigint")
+    tax = F.round(F.col("l_tax") * 100).cast("bigint")
+    return x.select(
+        F.format_string("%d-%d-%d-%d", o, ln, F.col("l_partkey"), sk).alias("request_id"),
+        (o * 8 + ln).alias("scrape_seq"), o.alias("orderkey"), ln.alias("linenumber"),
+        F.col("l_partkey").alias("partkey"), sk.alias("suppkey"),
+        "p_name", "p_brand", "p_type", "s_name", "l_quantity", "l_linestatus", "l_returnflag", "l_shipdate",
+        unit.cast("bigint").alias("unit_cents"),
+        F.when(disc > 0, F.floor(unit * (100 - disc) / 100)).cast("bigint").alias("used_cents"),
+        F.floor(unit * (100 + tax) / 100).cast("bigint").alias("offer_cents"))
+
+
+def product_reviews_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review markup per order: documents 3k..3k+2 (at most 3, so the group is bounded)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    x = d.join(lab, "doc_id", "left")
+    stars = F.when(F.col("quality").isNull(), F.lit("3.0")).otherwise(
+        F.concat((F.col("quality") * 4 + 1).cast("string"), F.lit(".0")))
+    author = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('<div class="a-profile"><span class="a-profile-name">'), F.col("source"), F.lit("</span></div>")))
+    html = F.concat(
+        F.lit('<div data-hook="review" id="R'), F.col("doc_id").cast("string"), F.lit('">'), author,
+        F.lit('<a data-hook="review-title" href="/r/'), F.col("doc_id").cast("string"),
+        F.lit('"><span>Review '), F.col("doc_id").cast("string"), F.lit("</span></a>"),
+        F.lit('<i data-hook="review-star-rating"><span class="a-icon-alt">'), stars,
+        F.lit(" out of 5 stars</span></i>"),
+        F.lit('<span data-hook="review-date">Reviewed in '), F.col("lang"), F.lit("</span>"),
+        F.lit('<span data-hook="review-body"><span>'), _esc(F.col("text")), F.lit("</span></span></div>"))
+    g = (x.select(F.floor(F.col("doc_id") / REVIEWS_PER_PAGE).cast("bigint").alias("orderkey"),
+                  F.struct("doc_id", html.alias("h")).alias("r"))
+         .groupBy("orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs")))
+    return g.select("orderkey", F.array_join(F.col("rs.h"), "").alias("reviews_html"))
+
+
+USED_CONDITIONS = ("Used - Like New", "Used - Very Good", "Used - Like-New", "Used",
+                   "Used - Good - Minor scuffs", "Used -Acceptable", "  Used - Good  ")
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed product pages ``(request_id, scrape_seq, url, http_status, html)``, one per scrape.
+
+    Variants (all restated in the SQL oracle): failed fetches, missing title /
+    price / count / availability span / description paragraph / seller / offers,
+    price ranges and unparseable used and seller prices, image wrappers without
+    ``src``, offers without name, heading or shipping, unescaped review text.
+    """
+    s = scrapes(spark, sf_dir)
+    rv = product_reviews_html(spark, sf_dir)
+    s = s.join(rv, (s.orderkey == rv.orderkey) & (s.linenumber == 1), "left").drop(rv.orderkey)
+    o, ln, pk, sk = F.col("orderkey"), F.col("linenumber"), F.col("partkey"), F.col("suppkey")
+    unit, used, offer = F.col("unit_cents"), F.col("used_cents"), F.col("offer_cents")
+    asin = _asin_of(pk)
+
+    title = F.when((o + 2 * ln) % 40 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<span id="productTitle" class="a-size-large">\n    '),
+        F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit("  </span>")))
+    pv = (o + ln) % 20
+    price = (F.when(pv == 0, F.lit(""))
+             .when(pv == 1, F.concat(F.lit('<span class="a-price"><span class="a-offscreen">$'), _money(unit),
+                                     F.lit(" - $"), _money(unit * 2), F.lit("</span></span>")))
+             .otherwise(F.concat(F.lit('<span class="a-price"><span class="a-offscreen">₹'), _money(unit),
+                                 F.lit("</span></span>"))))
+    count = F.when(ln == 6, F.lit("")).otherwise(F.concat(
+        F.lit('<span id="acrCustomerReviewText">'), F.format_number(F.col("l_quantity") * 37, 0),
+        F.lit(" ratings</span>")))
+    av = o % 9
+    avail_text = F.when(F.col("l_linestatus") == "O", F.concat(
+        F.lit("  Only "), F.col("l_quantity").cast("int").cast("string"), F.lit(" left in stock, order soon.  "))) \
+        .otherwise(F.lit("\n In Stock \n"))
+    avail = (F.when(av == 0, F.lit(""))
+             .when(av == 1, F.lit('<div id="availability"><i>check back</i></div>'))
+             .otherwise(F.concat(F.lit('<div id="availability"><span class="a-size-medium">'), avail_text,
+                                 F.lit("</span></div>"))))
+    desc = F.when(ln == 2, F.lit('<div id="productDescription"><div>No text</div></div>')).otherwise(F.concat(
+        F.lit('<div id="productDescription"><p><b>'), F.col("p_type"), F.lit(", "), F.col("p_brand"),
+        F.lit("<br><p>More details inside.</div>")))
+    img_url = lambda i: F.concat(F.lit("https://img.example.com/"), pk.cast("string"), F.lit("/"),
+                                 i.cast("string"), F.lit(".jpg"))
+    imgs = F.array_join(F.transform(F.sequence(F.lit(1), ln), lambda i: (
+        F.when(i == 2, F.lit('<div class="imgTagWrapper"><img alt="placeholder"></div>'))
+        .when(i == 3, F.concat(F.lit('<div class="imgTagWrapper zoom"><img src="'), img_url(i), F.lit('"></div>')))
+        .otherwise(F.concat(F.lit('<div class="imgTagWrapper"><img src="'), img_url(i), F.lit('"/></div>'))))), "")
+    seller = F.when(sk % 5 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<div id="merchant-info">Ships from and sold by <a id="sellerProfileTriggerId" href="/sp?s='),
+        sk.cast("string"), F.lit('">'), F.col("s_name"), F.lit("</a>.</div>")))
+    cond = F.element_at(F.array(*[F.lit(c) for c in USED_CONDITIONS]), ln.cast("int"))
+    used_txt = F.when((ln == 7) & (o % 3 == 0), F.lit("see options")).otherwise(F.concat(F.lit("₹"), _money(used)))
+    used_block = F.when(used.isNull(), F.lit("")).otherwise(F.concat(
+        F.lit('<div class="a-row accordion-caption"><span class="a-text-bold">'), cond,
+        F.lit('</span></div><div class="a-row"><span class="a-price"><span class="a-offscreen">'), used_txt,
+        F.lit("</span></span></div>")))
+    heading = F.when(sk % 4 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<div id="aod-offer-heading"><h5>'),
+        F.when(F.col("l_returnflag") == "R", F.lit("Used - Good")).otherwise(F.lit("New")), F.lit("</h5></div>")))
+    whole = F.when(sk % 11 == 0, F.lit("—")).otherwise(
+        F.concat(F.format_number(F.floor(offer / 100), 0), F.lit(".")))
+    name = F.when(sk % 7 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<a class="a-size-small a-link-normal" href="/s/'), sk.cast("string"), F.lit('">'),
+        F.col("s_name"), F.lit("</a>")))
+    ship = F.when(sk % 3 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<span class="a-size-small a-color-base">Delivery by '), F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.lit(", fast</span>")))
+    offers = F.when(ln == 5, F.lit("")).otherwise(F.concat(
+        F.lit('<div id="aod-offer-list"><div id="aod-offer">'), heading,
+        F.lit('<span class="a-price"><span class="a-offscreen">₹'), _money(offer),
+        F.lit('</span><span class="a-price-whole">'), whole, F.lit("</span></span>"), name, ship,
+        F.lit("</div></div>")))
+    body = F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), F.col("p_name"),
+        F.lit('</title><script>var p="</p>";</script></head><body><div id="dp">'),
+        title, price, count, avail, desc, imgs, seller, used_block, offers,
+        F.lit('<div id="reviews">'), F.coalesce(F.col("reviews_html"), F.lit("")), F.lit("</div></div></body></html>"))
+    failed = (o * 7 + ln) % 50 == 0
+    url = F.concat(F.lit(SHOP), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("/dp/"), asin,
+                   F.lit("?ref="), F.col("request_id"))
+    return s.select("request_id", "scrape_seq", "partkey", "suppkey", url.alias("url"),
+                    F.when(failed, F.lit(503)).otherwise(F.lit(200)).alias("http_status"),
+                    F.when(failed, F.lit("<html><body>Service Unavailable</body></html>")).otherwise(body).alias("html"))
