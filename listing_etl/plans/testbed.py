@@ -201,7 +201,11 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     price ranges and unparseable used and seller prices, image wrappers without
     ``src``, offers without name, heading or shipping, unescaped review text.
     """
-    s = scrapes(spark, sf_dir)
+    # Landed pages come as many file splits; the fixture renders them after a
+    # join, so fix the partition count (AQE would coalesce the narrow join input
+    # and leave the page parser with a few tasks).
+    n = max(spark.sparkContext.defaultParallelism * 2, 2)
+    s = scrapes(spark, sf_dir).repartition(n, "orderkey")
     rv = product_reviews_html(spark, sf_dir)
     s = s.join(rv, (s.orderkey == rv.orderkey) & (s.linenumber == 1), "left").drop(rv.orderkey)
     o, ln, pk, sk = F.col("orderkey"), F.col("linenumber"), F.col("partkey"), F.col("suppkey")
