@@ -199,3 +199,22 @@ QUERIES.update({
     "product_report": product_report,
 })
 FLAGSHIP = product_report
+
+
+# ----------------------------------------------------------- V1 lookup chain
+
+def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KEY1-KEY5, JN1, SRC1, SRC3: request -> ASIN -> lookup response -> pid / code."""
+    from listing_etl.plans import prices as PX
+    return PX.resolve(T.history_requests(spark, sf_dir), T.id_lookup(spark, sf_dir))
+
+
+def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN1, JN2, SRC4, HIS1-HIS10 end to end: the ``price_history`` table."""
+    from listing_etl.plans import prices as PX
+    d = PX.price_history(T.history_requests(spark, sf_dir), T.id_lookup(spark, sf_dir),
+                         T.history_pages(spark, sf_dir))
+    return H.points(d)
+
+
+QUERIES.update({"lookup_join": lookup_join, "price_history": price_history})

@@ -372,3 +372,49 @@ ORACLES.update({
     "request_status": REQUEST_STATUS,
     "product_report": PRODUCT_REPORT,
 })
+
+
+# ------------------------------------------------------------ V1 lookup chain
+HISTORY_PREFIX = "https://history.example.com/price-history-"
+_SERIES = """
+series AS (
+  SELECT DISTINCT user_id, event_id // 64 AS chunk FROM events
+),
+rq AS (
+  SELECT printf('P%d-%d', user_id, chunk) AS request_id, user_id, chunk,
+         'B' || lpad(CAST(user_id * 100000 + chunk AS VARCHAR), 9, '0') AS k,
+         (user_id + chunk * 3) % 17 = 0 AS invalid, (user_id * 7 + chunk) AS lk
+  FROM series
+),
+res AS (
+  SELECT request_id, user_id, chunk,
+    CASE WHEN invalid THEN '{SHOP}gp/product/' || k ELSE '{SHOP}item/dp/' || k || '?th=1' END AS url,
+    CASE WHEN invalid THEN NULL ELSE k END AS asin,
+    CASE WHEN invalid THEN 'INVALID_URL'
+         WHEN lk % 41 = 0 THEN 'LOOKUP_HTTP_FAILED'
+         WHEN lk % 19 = 0 THEN 'LOOKUP_HTTP_FAILED'
+         WHEN lk % 23 = 0 THEN 'LOOKUP_KEY_MISSING'
+         WHEN lk % 29 = 0 THEN 'LOOKUP_BAD_JSON'
+         WHEN lk % 31 = 0 THEN 'LOOKUP_NULL'
+         WHEN lk % 37 = 0 THEN 'LOOKUP_SHAPE' END AS code
+  FROM rq
+)
+""".replace("{SHOP}", SHOP)
+
+LOOKUP_JOIN = f"""
+WITH {_SERIES}
+SELECT request_id, url, asin, '{LOOKUP}' || asin AS lookup_url,
+       CASE WHEN code IS NULL THEN request_id END AS internal_pid,
+       CASE WHEN code IS NULL THEN '{HISTORY_PREFIX}' || request_id END AS history_url, code
+FROM res
+"""
+
+PRICE_HISTORY = f"""
+WITH {_SERIES}, e AS ({_HIST_EVENTS})
+SELECT res.request_id, res.asin, e.internal_pid, e.pos, date_trunc('second', e.ts) AS ts, e.value AS price
+FROM res JOIN e ON res.request_id = e.internal_pid
+WHERE res.code IS NULL AND {_PAGE_OK.replace('user_id', 'e.user_id').replace('chunk', 'e.chunk')}
+  AND e.event_id % 10 <> 0 AND e.event_id % 17 <> 0 AND e.event_id % 19 <> 0
+"""
+
+ORACLES.update({"lookup_join": LOOKUP_JOIN, "price_history": PRICE_HISTORY})
