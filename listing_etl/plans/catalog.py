@@ -218,3 +218,40 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"lookup_join": lookup_join, "price_history": price_history})
+
+
+# -------------------------------------------------- stored products, scalars
+
+def product_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN4, SRC5: does an earlier row (stored or earlier in the batch) have this title?"""
+    from listing_etl.plans import prices as PX
+    r = PX.previous_prices(T.new_batch(spark, sf_dir), T.stored_products(spark, sf_dir))
+    return r.select("request_id", "title", "exists")
+
+
+def stored_previous_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5, TOP1, WIN1, SCL8: the previous price each new scrape reports."""
+    from listing_etl.plans import prices as PX
+    r = PX.previous_prices(T.new_batch(spark, sf_dir), T.stored_products(spark, sf_dir))
+    return r.select("request_id", "title", "previous_price", "code")
+
+
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL1, SCL2 over whole review texts."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", S.with_default(S.normalize_text("text")).alias("text_norm"))
+
+
+def condition_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL4, both variants."""
+    c = T.condition_texts(spark, sf_dir)
+    return c.select("id", "condition_text", S.used_condition("condition_text", "details").alias("used_condition"),
+                    S.used_condition("condition_text", "wide").alias("used_condition_wide"))
+
+
+QUERIES.update({
+    "product_exists": product_exists,
+    "stored_previous_price": stored_previous_price,
+    "text_normalize": text_normalize,
+    "condition_split": condition_split,
+})

@@ -418,3 +418,77 @@ WHERE res.code IS NULL AND {_PAGE_OK.replace('user_id', 'e.user_id').replace('ch
 """
 
 ORACLES.update({"lookup_join": LOOKUP_JOIN, "price_history": PRICE_HISTORY})
+
+
+# ------------------------------------------------------------- stored products
+_STORED = """
+st AS (
+  SELECT concat_ws(' ', p_name, p_brand) AS title, p_partkey AS seq,
+         CASE WHEN p_partkey % 10 = 0 THEN 'abc' ELSE printf('%.2f', p_retailprice) END AS price
+  FROM part WHERE p_partkey % 2 = 0
+),
+latest AS (SELECT title, arg_max(price, seq) AS stored_price FROM st GROUP BY title),
+nb AS (
+  SELECT p_partkey AS request_id, concat_ws(' ', p_name, p_brand) AS title, p_partkey AS seq,
+         p_retailprice AS price
+  FROM part WHERE p_partkey % 2 = 1
+),
+w AS (
+  SELECT *, lag(price) OVER (PARTITION BY title ORDER BY seq) AS batch_prev,
+         row_number() OVER (PARTITION BY title ORDER BY seq) > 1 AS batch_seen
+  FROM nb
+),
+r AS (
+  SELECT w.request_id, w.title, w.batch_seen, w.batch_prev, latest.stored_price,
+         TRY_CAST(trim(latest.stored_price) AS DOUBLE) AS stored_num
+  FROM w LEFT JOIN latest ON w.title = latest.title
+)
+"""
+
+PRODUCT_EXISTS = f"""
+WITH {_STORED}
+SELECT request_id, title, (batch_seen OR stored_price IS NOT NULL) AS "exists" FROM r
+"""
+
+STORED_PREVIOUS_PRICE = f"""
+WITH {_STORED}
+SELECT request_id, title, CASE WHEN batch_seen THEN batch_prev ELSE stored_num END AS previous_price,
+       CASE WHEN NOT batch_seen AND stored_price IS NOT NULL AND stored_num IS NULL
+            THEN 'PREVIOUS_PRICE_DATA_ERROR' END AS code
+FROM r
+"""
+
+TEXT_NORMALIZE = f"""
+SELECT doc_id, coalesce(replace({ustrip('text')}, ',', ''), 'NA') AS text_norm FROM documents
+"""
+
+_COND = """
+c AS (
+  SELECT p_partkey AS id,
+    CASE p_partkey % 4 WHEN 0 THEN 'Used - ' || p_name
+                       WHEN 1 THEN 'Used - ' || replace(p_name, ' ', '-')
+                       WHEN 2 THEN p_type
+                       ELSE '  Used -' || p_brand || '  ' END AS condition_text
+  FROM part
+)
+"""
+
+CONDITION_SPLIT = f"""
+WITH {_COND}, s AS (
+  SELECT id, condition_text, {ustrip('condition_text')} AS t,
+         {ustrip("string_split(" + ustrip('condition_text') + ", '-')[2]")} AS part1,
+         len(string_split({ustrip('condition_text')}, '-')) AS n
+  FROM c
+)
+SELECT id, condition_text,
+  CASE WHEN t = 'NA' OR n < 2 THEN 'NA' ELSE part1 END AS used_condition,
+  CASE WHEN t = 'NA' THEN 'NA' WHEN n < 2 THEN t ELSE part1 END AS used_condition_wide
+FROM s
+"""
+
+ORACLES.update({
+    "product_exists": PRODUCT_EXISTS,
+    "stored_previous_price": STORED_PREVIOUS_PRICE,
+    "text_normalize": TEXT_NORMALIZE,
+    "condition_split": CONDITION_SPLIT,
+})

@@ -277,3 +277,35 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("request_id", "scrape_seq", "partkey", "suppkey", url.alias("url"),
                     F.when(failed, F.lit(503)).otherwise(F.lit(200)).alias("http_status"),
                     F.when(failed, F.lit("<html><body>Service Unavailable</body></html>")).otherwise(body).alias("html"))
+
+
+# ------------------------------------------------------- stored vs new batch
+
+def _titled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    return p.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"), "p_retailprice")
+
+
+def stored_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored ``products`` rows: parts with an even key; price kept as text, every 10th 'abc'."""
+    p = _titled_parts(spark, sf_dir).where(F.col("p_partkey") % 2 == 0)
+    price = F.when(F.col("p_partkey") % 10 == 0, F.lit("abc")).otherwise(F.format_string("%.2f", "p_retailprice"))
+    return p.select("title", price.alias("price"), F.col("p_partkey").alias("scrape_seq"))
+
+
+def new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new scrape batch: parts with an odd key."""
+    p = _titled_parts(spark, sf_dir).where(F.col("p_partkey") % 2 == 1)
+    return p.select(F.col("p_partkey").alias("request_id"), "title",
+                    F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("scrape_seq"))
+
+
+def condition_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Used-condition phrases from part names, types and brands."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    k = F.col("p_partkey") % 4
+    txt = (F.when(k == 0, F.concat(F.lit("Used - "), F.col("p_name")))
+           .when(k == 1, F.concat(F.lit("Used - "), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))))
+           .when(k == 2, F.col("p_type"))
+           .otherwise(F.concat(F.lit("  Used -"), F.col("p_brand"), F.lit("  "))))
+    return p.select(F.col("p_partkey").alias("id"), txt.alias("condition_text"))
