@@ -255,3 +255,32 @@ QUERIES.update({
     "text_normalize": text_normalize,
     "condition_split": condition_split,
 })
+
+
+# ----------------------------------------------------------- stream, scoring
+
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1, SET1: pages landed as several files, consumed one file per micro-batch;
+    the appended sink equals the batch ``product_details``."""
+    from listing_etl import schemas as SC
+    from listing_etl.session import scratch_path
+    from listing_etl.streaming import intake as IN
+    landing = scratch_path(spark, "landing")
+    pages = T.product_pages(spark, sf_dir).select(*[f.name for f in SC.PAGES.fields])
+    pages.repartition(16, "request_id").write.parquet(landing)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    q = IN.stream_details(spark, landing, out, ck, files_per_trigger=8)
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("ingested_at")
+
+
+def review_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF1: a text model fitted on labeled documents scores every document (whole texts)."""
+    from listing_etl.operators import reviews as RV
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = T.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    model = RV.fit_text_model(docs.join(lab, "doc_id"))
+    return RV.score_reviews(docs, model, text_col="text").select("doc_id", "label")
+
+
+QUERIES.update({"stream_intake": stream_intake, "review_score": review_score})

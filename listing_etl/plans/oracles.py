@@ -492,3 +492,5 @@ ORACLES.update({
     "text_normalize": TEXT_NORMALIZE,
     "condition_split": CONDITION_SPLIT,
 })
+
+ORACLES.update({"stream_intake": PRODUCT_DETAILS})
