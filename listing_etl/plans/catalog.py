@@ -284,3 +284,17 @@ def review_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"stream_intake": stream_intake, "review_score": review_score})
+
+
+def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HIS10 regrouped, AGG4: per page, the ordered dates/prices lists (shown as text)."""
+    pts = H.points(H.decode_pages(T.history_pages(spark, sf_dir), ["internal_pid"]))
+    s = H.series(pts, ["internal_pid"])
+    return s.select("internal_pid", F.size("prices").alias("n_points"),
+                    F.array_join(F.transform("dates", lambda d: F.date_format(d, "yyyy-MM-dd HH:mm:ss")), "|")
+                    .alias("dates_text"),
+                    F.array_join(F.transform("prices", lambda p: F.format_string("%.2f", p)), "|")
+                    .alias("prices_text"))
+
+
+QUERIES.update({"history_series": history_series})

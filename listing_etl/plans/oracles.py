@@ -494,3 +494,12 @@ ORACLES.update({
 })
 
 ORACLES.update({"stream_intake": PRODUCT_DETAILS})
+
+HISTORY_SERIES = f"""
+SELECT internal_pid, CAST(count(*) AS INTEGER) AS n_points,
+       string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), '|' ORDER BY pos) AS dates_text,
+       string_agg(printf('%.2f', price), '|' ORDER BY pos) AS prices_text
+FROM ({HISTORY_DECODE})
+GROUP BY internal_pid
+"""
+ORACLES.update({"history_series": HISTORY_SERIES})
