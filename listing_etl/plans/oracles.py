@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from listing_etl.functions.scalars import PY_WHITESPACE
 
-_WS_SQL = "".join(f"\\u{ord(c):04x}" for c in PY_WHITESPACE)
-
-
 def ustrip(e: str) -> str:
     """Python str.strip() in DuckDB."""
     chars = PY_WHITESPACE.replace("'", "''")
