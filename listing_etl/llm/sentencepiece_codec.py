@@ -32,6 +32,7 @@ from listing_etl.llm.common import append_columns, prepare, slices
 MARK = "▁"
 _NONE = np.iinfo(np.int32).max
 _SHIFT = 22                       # symbol ids and code points behind them fit in 22 bits
+_LONE = re.compile("[\udc80-\udcff]")
 #: Distinct words that a Python worker keeps encoded before it starts anew.
 CACHE_WORDS = 600_000
 #: Symbols that one round of merges works on at most (a longer word is taken alone).
@@ -291,14 +292,14 @@ class PieceCodec:
         self.piece_bytes = np.array(out, dtype=object)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """Texts of flat ids between consecutive bounds. Bytes that are no UTF-8 become
+        """Texts of flat ids between consecutive bounds. Each byte that is no UTF-8 becomes
         U+FFFD; the space that encoding put in front is taken off."""
         if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
             raise ValueError("an id is outside the vocabulary")
         parts = self.piece_bytes[ids].tolist()
         texts = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            t = b"".join(parts[a:b]).decode("utf-8", "replace")
+            t = _LONE.sub("\ufffd", b"".join(parts[a:b]).decode("utf-8", "surrogateescape"))
             texts.append(t[1:] if self.prefix and t.startswith(" ") else t)
         return texts
 

@@ -35,7 +35,8 @@ MIN_PAGES, MIN_SHARE = 8, 0.1
 #: Template hashes up to which they are broadcast; beyond it pages are shuffled by host.
 BROADCAST_ROWS = 500_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^<>"']+|"[^"<]*"|'[^'<]*')*+|[^>]*)>|<[!?][^>]*>""", re.S)
+# a quote opens a value only behind '='; the end of the page ends a tag or comment
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -119,10 +120,7 @@ def parse(page: str | None) -> tuple[list, list[_Node]]:
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
-            # a tag that the end of the page cuts off is markup, any other rest is text
-            rest = page[at:]
-            cut = rest.rfind("<")
-            text(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!?][^>]*\Z", rest[cut:]) else rest)
+            text(page[at:])
             break
         text(page[at:m.start()])
         at = m.end()
