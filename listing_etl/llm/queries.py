@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listing_etl.llm import cross_polytope, decontaminate, quality, sentencepiece_codec, sharding, simhash, site_text, toxicity, url_reputation, warc
+from listing_etl.llm import cross_polytope, decontaminate, oracles, quality, sentencepiece_codec, sharding, simhash, site_text, toxicity, url_reputation, warc
 from listing_etl.llm.common import prepare, staged, table
 from listing_etl.session import scratch_path
 
@@ -51,7 +51,7 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     known = staged(url_reputation.reputations(page_outcomes(spark, sf_dir)), "reputations")
-    return url_reputation.judge(table(spark, sf_dir, "pages"), known, RULES)
+    return url_reputation.judge(table(spark, sf_dir, "pages"), known, RULES).drop("bound")
 
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +111,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_shards, op2_url_reputation, op3_cross_polytope, op4_sentencepiece, op5_decontaminate,
                                    op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_url_reputation": oracles.url_reputation(RULES), "op5_decontaminate": oracles.DECONTAMINATE,
+           "op8_warc": oracles.WARC, "op10_main_text": oracles.MAIN_TEXT}
