@@ -24,7 +24,7 @@ HISTORY_PREFIX = "https://history.example.com/price-history-"
 
 # Missing-value sentinels of the product record.
 NA = "NA"
-DEFAULT_SELLER = "Amazon"
+DEFAULT_SELLER = "Marketplace"
 V2_DEFAULT_OFFER_NAME = "Unknown"
 V2_DEFAULT_SHIPPING = "Free"
 
@@ -72,14 +72,16 @@ def lookup_pid(body) -> Column:
     return F.get_json_object(_c(body), "$.data.internalPid")
 
 
-def lookup_code(body, status=None) -> Column:
+def lookup_code(body, status=None, parsed=None) -> Column:
     """Reject code of one lookup response, null when the pid is usable.
 
+    ``parsed``: a column with the body as a variant, if there is one.
+
     Order follows the reference's handlers: HTTP failure, undecodable body,
     wrong shape (indexing a non-object), missing key, JSON null.
     """
     b = _c(body)
-    v = F.try_parse_json(b)
+    v = F.try_parse_json(b) if parsed is None else _c(parsed)
     top = F.schema_of_variant(v)
     d = F.variant_get(v, "$.data", "variant")
     p = F.variant_get(v, "$.data.internalPid", "variant")
