@@ -128,57 +128,75 @@ QUERIES.update({
 
 # -------------------------------------------------------------- product flow
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Staged parses by folder (``stage_parsed``), which the views read if there is one.
+STAGED: dict[str, DataFrame] = {}
+
+
+def stage_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse all product pages once, as a production batch does, for every view of ``sf_dir``."""
+    from listing_etl.sources import sinks as K
+    STAGED[sf_dir] = K.stage(spark, _parsed(spark, sf_dir), "parsed")
+    return STAGED[sf_dir]
+
+
+def _parsed(spark: SparkSession, sf_dir: str, *without: str) -> DataFrame:
+    """Parsed pages, without optional columns that the view does not show."""
     from listing_etl.plans import products as PR
-    return PR.parse_products(T.product_pages(spark, sf_dir), keys=["request_id", "scrape_seq"])
+    if sf_dir in STAGED:
+        return STAGED[sf_dir].drop(*without)
+    return PR.parse_products(T.product_pages(spark, sf_dir), keys=["request_id", "scrape_seq"], without=without)
 
 
 def product_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLD1-FLD9, SCL1-SCL6, EXP4, SNK1 (V1 details row)."""
     from listing_etl.plans import products as PR
-    return PR.details(_parsed(spark, sf_dir), ["request_id"])
+    return PR.details(_parsed(spark, sf_dir, "images", "seller", "reviews"), ["request_id"])
 
 
 def products_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLD1-FLD9, SCL4 (V2 rule), SCL7, EXP4, SNK5 (V2 wide row)."""
     from listing_etl.plans import products as PR
-    return PR.wide(_parsed(spark, sf_dir), ["request_id"])
+    return PR.wide(_parsed(spark, sf_dir, "reviews"), ["request_id"])
 
 
 def product_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLD6, PAGE6, EXP1, SNK2."""
     from listing_etl.plans import products as PR
-    return PR.images(_parsed(spark, sf_dir), ["request_id"])
+    return PR.images(_parsed(spark, sf_dir, "seller", "reviews"), ["request_id"])
 
 
 def reviews_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLD10, PAGE7, EXP2, SNK3."""
     from listing_etl.plans import products as PR
-    return PR.reviews(_parsed(spark, sf_dir), ["request_id"])
+    return PR.reviews(_parsed(spark, sf_dir, "images", "seller"), ["request_id"])
 
 
 def offers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLD11, EXP3, SNK4 (V1 offers)."""
     from listing_etl.plans import products as PR
-    return PR.offers(_parsed(spark, sf_dir), ["request_id"], "details")
+    return PR.offers(_parsed(spark, sf_dir, "images", "seller", "reviews"), ["request_id"], "details")
 
 
 def offers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLD12 (V2 offers: name, price text, condition, shipping)."""
     from listing_etl.plans import products as PR
-    return PR.offers(_parsed(spark, sf_dir), ["request_id"], "wide")
+    return PR.offers(_parsed(spark, sf_dir, "images", "seller", "reviews"), ["request_id"], "wide")
 
 
 def product_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REJ for the page stage: one row per (request, code)."""
     from listing_etl.plans import products as PR
-    return PR.rejects(_parsed(spark, sf_dir))
+    return PR.rejects(_parsed(spark, sf_dir, "images", "seller", "reviews"))
 
 
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RPT2, SRC1, SRC2: requests by outcome (first fatal code, else ok)."""
+    """RPT2, JN3, SRC1, SRC2: requests by outcome (first fatal code, else ok); a request whose
+    page never landed counts as a failed page."""
+    from listing_etl.plans import pipeline as PL
+    from listing_etl.plans import products as PR
     from listing_etl.plans import report as RP
-    return RP.request_status(_parsed(spark, sf_dir), "details")
+    found = PL.landed(T.product_requests(spark, sf_dir), T.landed_product_pages(spark, sf_dir))
+    return RP.request_status(PR.parse_products(found, keys=["request_id"], without=PR.OPTIONAL), "details")
 
 
 def product_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +285,8 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_etl.streaming import intake as IN
     landing = scratch_path(spark, "landing")
     pages = T.product_pages(spark, sf_dir).select(*[f.name for f in SC.PAGES.fields])
-    pages.repartition(16, "request_id").write.parquet(landing)
+    # landed as files of bounded size, as many as the data needs
+    pages.write.option("maxRecordsPerFile", 20_000).parquet(landing)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     q = IN.stream_details(spark, landing, out, ck, files_per_trigger=8)
     q.awaitTermination()
@@ -275,15 +294,30 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UDF1: a text model fitted on labeled documents scores every document (whole texts)."""
+    """UDF1: word odds fitted on labelled documents (every fifth held out) label every document."""
     from listing_etl.operators import reviews as RV
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = T.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    model = RV.fit_text_model(docs.join(lab, "doc_id"))
-    return RV.score_reviews(docs, model, text_col="text").select("doc_id", "label")
+    lab = T.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    odds = RV.fit_word_odds(docs.join(lab.where(F.col("doc_id") % 5 != 0), "doc_id"))
+    return RV.score_word_odds(docs, odds, "doc_id")
+
+
+def review_return_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF1 -> AGG1-AGG3: the return rate of each product page from the model's labels."""
+    from listing_etl.operators import reviews as RV
+    scored = review_score(spark, sf_dir).select(T.review_record(F.col("doc_id")).alias("record_id"), "label")
+    return RV.return_rate(scored)
+
+
+def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KEY4's JSON paths over event properties: the number under ``k``, null where there is none."""
+    ev = T.table(spark, sf_dir, "events").select("event_id", "props")
+    return ev.select("event_id", F.get_json_object("props", "$.k").alias("k_text"),
+                     F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-QUERIES.update({"stream_intake": stream_intake, "review_score": review_score})
+QUERIES.update({"stream_intake": stream_intake, "review_score": review_score,
+                "review_return_rate": review_return_rate, "json_path": json_path})
 
 
 def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:

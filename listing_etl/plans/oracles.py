@@ -7,7 +7,7 @@ match means the Spark decode recovered what was encoded.
 
 from __future__ import annotations
 
-from listing_etl.functions.scalars import PY_WHITESPACE
+from listing_etl.functions.scalars import DEFAULT_SELLER, PY_WHITESPACE
 
 def ustrip(e: str) -> str:
     """Python str.strip() in DuckDB."""
@@ -83,11 +83,11 @@ SELECT scrape_seq, price, used_price,
 FROM x
 """
 
-# History pages: (user_id, event_id // 64); page k = user_id + chunk.
+# History pages: user and month; page k = user_id + chunk.
 _HIST_EVENTS = """
-  SELECT printf('P%d-%d', user_id, event_id // 64) AS internal_pid, user_id, event_id // 64 AS chunk,
+  SELECT printf('P%d-%d', user_id, ((year(ts) - 2000) * 12 + month(ts))) AS internal_pid, user_id, ((year(ts) - 2000) * 12 + month(ts)) AS chunk,
          event_id, ts, value,
-         (row_number() OVER (PARTITION BY user_id, event_id // 64 ORDER BY event_id) - 1)::INTEGER AS pos
+         (row_number() OVER (PARTITION BY user_id, ((year(ts) - 2000) * 12 + month(ts)) ORDER BY event_id) - 1)::INTEGER AS pos
   FROM events
 """
 _PAGE_OK = "((user_id + chunk) % 13 <> 0 AND (user_id + chunk) % 11 <> 0 AND (user_id + chunk) % 7 <> 0)"
@@ -204,9 +204,14 @@ s0 AS (
          floor(round(l_extendedprice * 100)::BIGINT / l_quantity::BIGINT)::BIGINT AS unit,
          round(l_discount * 100)::BIGINT AS disc, round(l_tax * 100)::BIGINT AS tax
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL
+  SELECT printf('%d-1-0-0', o), o * 8 + 1, o, 1, 0, 0, 'unlisted item', 'NONE', 'NONE', 'Unlisted', 1, 'F', 'N',
+         DATE '2024-01-01', 100, 0, 0
+  FROM (SELECT DISTINCT doc_id // 3 AS o FROM documents) WHERE o NOT IN (SELECT l_orderkey FROM lineitem)
 ),
 s1 AS (
-  SELECT *, CASE WHEN disc > 0 THEN floor(unit * (100 - disc) / 100)::BIGINT END AS used,
+  SELECT *, row_number() OVER (PARTITION BY o ORDER BY ln, pk, sk, unit, floor(unit * (100 + tax) / 100)) = 1 AS is_first,
+         CASE WHEN disc > 0 THEN floor(unit * (100 - disc) / 100)::BIGINT END AS used,
          floor(unit * (100 + tax) / 100)::BIGINT AS offer,
          (o * 7 + ln) % 50 = 0 AS failed, (o + ln) % 20 AS pv, ln <> 5 AS has_offer
   FROM s0
@@ -227,7 +232,7 @@ s AS (
          WHEN l_linestatus = 'O' THEN 'Only ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' left in stock order soon.'
          ELSE 'In Stock' END AS availability,
     CASE WHEN ln = 2 THEN 'NA' ELSE p_type || ' ' || p_brand END AS description,
-    CASE WHEN sk % 5 = 0 THEN 'Amazon' ELSE s_name END AS seller,
+    CASE WHEN sk % 5 = 0 THEN '{DEFAULT_SELLER}' ELSE s_name END AS seller,
     CASE WHEN NOT has_used THEN 'NA'
          ELSE ['Like New', 'Very Good', 'Like', 'NA', 'Good', 'Acceptable', 'Good'][ln] END AS used_condition,
     CASE WHEN NOT has_used THEN 'NA'
@@ -242,7 +247,7 @@ d AS (
   FROM s
 ),
 p AS (SELECT *, ok_wide AND NOT seller_bad AS ok FROM d)
-""".replace("{rnd2}", rnd2("(price - used_price) / price * 100.0"))
+""".replace("{rnd2}", rnd2("(price - used_price) / price * 100.0")).replace("{DEFAULT_SELLER}", DEFAULT_SELLER)
 
 _REVIEWS = f"""
 rv AS (
@@ -287,7 +292,7 @@ REVIEWS_ROWS = f"""
 WITH {_SCRAPES}, {_REVIEWS}
 SELECT p.request_id, p.title AS product_title, rv.pos, rv.review_title, rv.review_rating, rv.review_text,
        rv.review_author, rv.review_date
-FROM p JOIN rv ON p.o = rv.o AND p.ln = 1
+FROM p JOIN rv ON p.o = rv.o AND p.is_first
 WHERE p.ok
 """
 
@@ -331,7 +336,7 @@ SELECT request_id, 'page' AS stage, code, detail FROM (
 REQUEST_STATUS = f"""
 WITH {_SCRAPES}
 SELECT status, count(*) AS n FROM (
-  SELECT CASE WHEN failed THEN 'PAGE_HTTP_FAILED' WHEN price IS NULL THEN 'BAD_PRICE'
+  SELECT CASE WHEN failed OR scrape_seq % 61 = 0 THEN 'PAGE_HTTP_FAILED' WHEN price IS NULL THEN 'BAD_PRICE'
               WHEN used_price IS NULL THEN 'BAD_USED_PRICE' WHEN seller_bad THEN 'BAD_SELLER_PRICE'
               ELSE 'ok' END AS status
   FROM p)
@@ -341,12 +346,13 @@ GROUP BY status
 PRODUCT_REPORT = f"""
 WITH {_SCRAPES}, {_REVIEWS},
 g AS (
-  SELECT p.request_id, count(*) AS n, count(*) FILTER (WHERE rv.positive) AS positive
-  FROM p JOIN rv ON p.o = rv.o AND p.ln = 1 WHERE p.ok GROUP BY p.request_id
+  SELECT p.request_id, count(*) AS n, count(*) FILTER (WHERE rv.positive) AS positive,
+         string_agg(concat_ws(' | ', review_title, review_rating, review_author, review_date, review_text), chr(10) ORDER BY pos) AS reviews_text
+  FROM p JOIN rv ON p.o = rv.o AND p.is_first WHERE p.ok GROUP BY p.request_id
 ),
 r AS (
   SELECT p.*, coalesce(g.n, 0) AS n, coalesce(g.positive, 0) AS positive,
-         CASE WHEN coalesce(g.n, 0) > 0 THEN {rnd2('(g.n - g.positive) / g.n * 100.0')} ELSE 0.0 END AS return_rate
+         g.reviews_text, CASE WHEN coalesce(g.n, 0) > 0 THEN {rnd2('(g.n - g.positive) / g.n * 100.0')} ELSE 0.0 END AS return_rate
   FROM p LEFT JOIN g ON p.request_id = g.request_id WHERE p.ok
 )
 SELECT request_id, title, printf('%.2f', price) AS price_text, printf('%.2f', used_price) AS used_price_text,
@@ -354,6 +360,9 @@ SELECT request_id, title, printf('%.2f', price) AS price_text, printf('%.2f', us
        CASE WHEN price > 0 AND used_price > 0 THEN CAST(discount AS VARCHAR) || '%' ELSE '0%' END AS discount_text,
        n AS n_reviews, positive AS n_positive, return_rate,
        printf('%.2f', return_rate) || '%' AS return_rate_text, return_rate / 100.0 AS progress,
+       reviews_count, availability, description, seller, coalesce(reviews_text, '') AS reviews_text,
+       CASE WHEN has_offer THEN concat_ws(' | ', CASE WHEN sk % 7 = 0 THEN 'NA' ELSE s_name END, printf('%.2f', CAST(offer // 100 AS DOUBLE)))
+            ELSE '' END AS offers_text,
        CASE WHEN has_offer THEN 1 ELSE 0 END AS n_offers, CAST(ln - (CASE WHEN ln >= 2 THEN 1 ELSE 0 END) AS INTEGER) AS n_images
 FROM r
 """
@@ -375,11 +384,11 @@ ORACLES.update({
 HISTORY_PREFIX = "https://history.example.com/price-history-"
 _SERIES = """
 series AS (
-  SELECT DISTINCT user_id, event_id // 64 AS chunk FROM events
+  SELECT DISTINCT user_id, ((year(ts) - 2000) * 12 + month(ts)) AS chunk FROM events
 ),
 rq AS (
   SELECT printf('P%d-%d', user_id, chunk) AS request_id, user_id, chunk,
-         'B' || lpad(CAST(user_id * 100000 + chunk AS VARCHAR), 9, '0') AS k,
+         'B' || lpad(CAST(user_id * 1000 + chunk AS VARCHAR), 9, '0') AS k,
          (user_id + chunk * 3) % 17 = 0 AS invalid, (user_id * 7 + chunk) AS lk
   FROM series
 ),
@@ -424,35 +433,35 @@ st AS (
          CASE WHEN p_partkey % 10 = 0 THEN 'abc' ELSE printf('%.2f', p_retailprice) END AS price
   FROM part WHERE p_partkey % 2 = 0
 ),
-latest AS (SELECT title, arg_max(price, seq) AS stored_price FROM st GROUP BY title),
 nb AS (
   SELECT p_partkey AS request_id, concat_ws(' ', p_name, p_brand) AS title, p_partkey AS seq,
          p_retailprice AS price
   FROM part WHERE p_partkey % 2 = 1
 ),
-w AS (
-  SELECT *, lag(price) OVER (PARTITION BY title ORDER BY seq) AS batch_prev,
-         row_number() OVER (PARTITION BY title ORDER BY seq) > 1 AS batch_seen
-  FROM nb
+u AS (
+  SELECT NULL AS request_id, title, seq, 0 AS new, price AS txt, NULL AS num FROM st
+  UNION ALL SELECT request_id, title, seq, 1, NULL, price FROM nb
 ),
 r AS (
-  SELECT w.request_id, w.title, w.batch_seen, w.batch_prev, latest.stored_price,
-         TRY_CAST(trim(latest.stored_price) AS DOUBLE) AS stored_num
-  FROM w LEFT JOIN latest ON w.title = latest.title
+  SELECT request_id, title, new, row_number() OVER w > 1 AS seen, lag(new) OVER w AS prev_new,
+         TRY_CAST(trim(lag(txt) OVER w) AS DOUBLE) AS stored_num, lag(num) OVER w AS batch_num
+  FROM u WINDOW w AS (PARTITION BY title ORDER BY seq, new)
+),
+pp AS (
+  SELECT request_id, title, seen, CASE WHEN prev_new = 0 THEN stored_num ELSE batch_num END AS previous_price FROM r WHERE new = 1
 )
 """
 
 PRODUCT_EXISTS = f"""
 WITH {_STORED}
-SELECT request_id, title, (batch_seen OR stored_price IS NOT NULL) AS "exists" FROM r
+SELECT request_id, title, seen AS "exists" FROM pp
 """
 
 STORED_PREVIOUS_PRICE = f"""
 WITH {_STORED}
-SELECT request_id, title, CASE WHEN batch_seen THEN batch_prev ELSE stored_num END AS previous_price,
-       CASE WHEN NOT batch_seen AND stored_price IS NOT NULL AND stored_num IS NULL
-            THEN 'PREVIOUS_PRICE_DATA_ERROR' END AS code
-FROM r
+SELECT request_id, title, previous_price,
+       CASE WHEN seen AND previous_price IS NULL THEN 'PREVIOUS_PRICE_DATA_ERROR' END AS code
+FROM pp
 """
 
 TEXT_NORMALIZE = f"""
@@ -500,3 +509,34 @@ FROM ({HISTORY_DECODE})
 GROUP BY internal_pid
 """
 ORACLES.update({"history_series": HISTORY_SERIES})
+
+_LABELLED = """
+w AS (
+  SELECT doc_id, unnest(list_concat([''], list_distinct(list_filter(
+    regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')))) AS word
+  FROM documents
+),
+y AS (SELECT doc_id, quality AS y FROM labels WHERE quality IN (0, 1) AND doc_id % 5 <> 0 AND doc_id IN (SELECT doc_id FROM documents)),
+t AS (SELECT count(*) FILTER (WHERE y = 1) AS t1, count(*) FILTER (WHERE y = 0) AS t0 FROM y),
+o AS (
+  SELECT word, CASE WHEN word = '' THEN ln((t1 + 1.0::DOUBLE) / (t0 + 1.0::DOUBLE))
+                    ELSE ln((n1 + 1.0::DOUBLE) / (t1 + 2.0::DOUBLE)) - ln((n0 + 1.0::DOUBLE) / (t0 + 2.0::DOUBLE)) END AS odds
+  FROM (SELECT word, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM w JOIN y USING (doc_id) GROUP BY word), t
+),
+scored AS (
+  SELECT doc_id, CASE WHEN sum(CAST(round(coalesce(odds, 0) * 1e6) AS BIGINT)) > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label
+  FROM w LEFT JOIN o USING (word) GROUP BY doc_id
+)
+"""
+REVIEW_SCORE = f"WITH {_LABELLED} SELECT doc_id, label FROM scored"
+REVIEW_RETURN_RATE = f"""
+WITH {_LABELLED}, g AS (
+  SELECT CAST(doc_id // 3 AS VARCHAR) || '-1' AS record_id, count(*) AS n, count(*) FILTER (WHERE label = 'POSITIVE') AS positive
+  FROM scored GROUP BY 1
+)
+SELECT record_id, n, positive, {rnd2('(n - positive) / n * 100.0')} AS return_rate FROM g
+"""
+JSON_PATH = """
+SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+"""
+ORACLES.update({"review_score": REVIEW_SCORE, "review_return_rate": REVIEW_RETURN_RATE, "json_path": JSON_PATH})

@@ -3,20 +3,19 @@
 The reference fetches pages over HTTP; this library reads *landed* data. For the
 checks, the landed tables are built by Spark from the given parquet tables, so
 every query's work grows with them. Each derivation is row-local or groups into
-bounded groups (a history page holds at most ``HISTORY_CHUNK`` points, a product
-page at most ``REVIEWS_PER_PAGE`` reviews), so no key can concentrate work.
+pages (a history page holds a user's whole series of one month, a product page at
+most ``REVIEWS_PER_PAGE`` reviews); a page is one value, as large as a landed page.
 
 The same rules are restated in SQL in ``__spark_entry__.oracle_sql``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the derivation (shared with the SQL oracles).
-HISTORY_CHUNK = 64          # events per history page: (user_id, event_id div 64)
-REVIEWS_PER_PAGE = 3        # documents 3k..3k+2 are reviews of order k's line 1
+REVIEWS_PER_PAGE = 3        # documents 3k..3k+2 are reviews of order k's first line
 SHOP = "https://shop.example.com/"
 
 
@@ -31,14 +30,14 @@ def _asin_of(n: Column) -> Column:
 # ------------------------------------------------------------------ V1 history branch
 
 def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One history page per (user_id, event_id div 64): the packed payload of its events.
+    """One history page per user and month: the packed payload of all of its events.
 
     Variants by event_id: every 10th price is written as an integer (silently dropped),
     every 17th date is date-only (BAD_TIMESTAMP), every 19th price gets a 'd' suffix
     (BAD_HISTORY_PRICE).
     """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    chunk = F.floor(F.col("event_id") / HISTORY_CHUNK).cast("bigint")
+    chunk = ((F.year("ts") - 2000) * 12 + F.month("ts")).cast("bigint")
     date_txt = F.when(F.col("event_id") % 17 == 0, F.date_format("ts", "yyyy-MM-dd")) \
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     price_txt = (F.when(F.col("event_id") % 10 == 0, F.round("value").cast("bigint").cast("string"))
@@ -50,7 +49,7 @@ def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
          .agg(F.array_sort(F.collect_list(pair)).alias("p")))
     pid = F.format_string("P%d-%d", "user_id", "chunk")
     return g.select("user_id", "chunk", pid.alias("internal_pid"),
-                    _asin_of(F.col("user_id") * 100000 + F.col("chunk")).alias("asin"),
+                    _asin_of(F.col("user_id") * 1000 + F.col("chunk")).alias("asin"),
                     F.array_join(F.col("p.t"), "~*~*").alias("payload"))
 
 
@@ -156,7 +155,7 @@ def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.floor(F.round(F.col("l_extendedprice") * 100).cast("bigint") / F.col("l_quantity").cast("bigint"))
     disc = F.round(F.col("l_discount") * 100).cast("bigint")
     tax = F.round(F.col("l_tax") * 100).cast("bigint")
-    return x.select(
+    rows = x.select(
         F.format_string("%d-%d-%d-%d", o, ln, F.col("l_partkey"), sk).alias("request_id"),
         (o * 8 + ln).alias("scrape_seq"), o.alias("orderkey"), ln.alias("linenumber"),
         F.col("l_partkey").alias("partkey"), sk.alias("suppkey"),
@@ -164,6 +163,17 @@ def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         unit.cast("bigint").alias("unit_cents"),
         F.when(disc > 0, F.floor(unit * (100 - disc) / 100)).cast("bigint").alias("used_cents"),
         F.floor(unit * (100 + tax) / 100).cast("bigint").alias("offer_cents"))
+    # reviews of an order without lines have a page of their own, of an unlisted product
+    orders = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / REVIEWS_PER_PAGE).cast("bigint").alias("o")).distinct()
+    lone = orders.join(li.select(o.alias("o")), "o", "left_anti")
+    k = F.col("o")
+    text = lambda t: F.lit(t)
+    values = [F.format_string("%d-1-0-0", k), k * 8 + 1, k, F.lit(1), F.lit(0), F.lit(0), text("unlisted item"), text("NONE"), text("NONE"),
+              text("Unlisted"), F.lit(1), text("F"), text("N"), text("2024-01-01"), F.lit(100), F.lit(None), F.lit(100)]
+    extra = lone.select(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, rows.schema.fields, strict=True)])
+    # the page that shows the order's reviews: that of its first line
+    first = Window.partitionBy("orderkey").orderBy("linenumber", "partkey", "suppkey", "unit_cents", "offer_cents")
+    return rows.union(extra).withColumn("is_first", F.row_number().over(first) == 1)
 
 
 def product_reviews_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,13 +211,9 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     price ranges and unparseable used and seller prices, image wrappers without
     ``src``, offers without name, heading or shipping, unescaped review text.
     """
-    # Landed pages come as many file splits; the fixture renders them after a
-    # join, so fix the partition count (AQE would coalesce the narrow join input
-    # and leave the page parser with a few tasks).
-    n = max(spark.sparkContext.defaultParallelism * 2, 2)
-    s = scrapes(spark, sf_dir).repartition(n, "orderkey")
+    s = scrapes(spark, sf_dir)
     rv = product_reviews_html(spark, sf_dir)
-    s = s.join(rv, (s.orderkey == rv.orderkey) & (s.linenumber == 1), "left").drop(rv.orderkey)
+    s = s.join(rv, (s.orderkey == rv.orderkey) & s.is_first, "left").drop(rv.orderkey)
     o, ln, pk, sk = F.col("orderkey"), F.col("linenumber"), F.col("partkey"), F.col("suppkey")
     unit, used, offer = F.col("unit_cents"), F.col("used_cents"), F.col("offer_cents")
     asin = _asin_of(pk)
@@ -279,6 +285,16 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(failed, F.lit("<html><body>Service Unavailable</body></html>")).otherwise(body).alias("html"))
 
 
+def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests(request_id, url, scrape_seq)``: one for each product page."""
+    return product_pages(spark, sf_dir).select("request_id", "url", "scrape_seq")
+
+
+def landed_product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages(url, http_status, html)``; every 61st request's page never landed."""
+    return product_pages(spark, sf_dir).where(F.col("scrape_seq") % 61 != 0).select("url", "http_status", "html")
+
+
 # ------------------------------------------------------- stored vs new batch
 
 def _titled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

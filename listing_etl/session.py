@@ -55,12 +55,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Read from ``spark.checkpoint.dir``; only when the session leaves it unset
-    (local runs, tests) is a folder under the local temp dir created.
+    (local runs, tests) is a folder under the local temp dir created. A cluster,
+    also one on this machine, has to name its own.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="listing-etl-")
         spark.conf.set("spark.checkpoint.dir", root)
