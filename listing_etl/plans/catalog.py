@@ -13,6 +13,7 @@ from listing_etl.functions import scalars as S
 from listing_etl.operators import history as H
 from listing_etl.operators import relational as R
 from listing_etl.plans import testbed as T
+from listing_etl.sources import readers as RD
 
 
 def asin_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +196,8 @@ def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_etl.plans import pipeline as PL
     from listing_etl.plans import products as PR
     from listing_etl.plans import report as RP
-    found = PL.landed(T.product_requests(spark, sf_dir), T.landed_product_pages(spark, sf_dir))
+    found = PL.landed(_landed(spark, T.product_requests(spark, sf_dir), RD.requests),
+                      _landed(spark, T.landed_product_pages(spark, sf_dir), RD.pages))
     return RP.request_status(PR.parse_products(found, keys=["request_id"], without=PR.OPTIONAL), "details")
 
 
@@ -221,17 +223,27 @@ FLAGSHIP = product_report
 
 # ----------------------------------------------------------- V1 lookup chain
 
+def _landed(spark: SparkSession, df: DataFrame, reader, **options) -> DataFrame:
+    """``df`` landed as files in the shared folder and read by a source of the library."""
+    from listing_etl.session import scratch_path
+    path = scratch_path(spark, f"landed-{reader.__name__}")
+    df.write.parquet(path)
+    return reader(spark, path, **options)
+
+
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEY1-KEY5, JN1, SRC1, SRC3: request -> ASIN -> lookup response -> pid / code."""
     from listing_etl.plans import prices as PX
-    return PX.resolve(T.history_requests(spark, sf_dir), T.id_lookup(spark, sf_dir))
+    return PX.resolve(_landed(spark, T.history_requests(spark, sf_dir), RD.requests),
+                      _landed(spark, T.id_lookup(spark, sf_dir), RD.id_lookup))
 
 
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1, JN2, SRC4, HIS1-HIS10 end to end: the ``price_history`` table."""
     from listing_etl.plans import prices as PX
-    d = PX.price_history(T.history_requests(spark, sf_dir), T.id_lookup(spark, sf_dir),
-                         T.history_pages(spark, sf_dir))
+    d = PX.price_history(_landed(spark, T.history_requests(spark, sf_dir), RD.requests),
+                         _landed(spark, T.id_lookup(spark, sf_dir), RD.id_lookup),
+                         _landed(spark, T.history_pages(spark, sf_dir), RD.history_pages))
     return H.points(d)
 
 
@@ -243,14 +255,18 @@ QUERIES.update({"lookup_join": lookup_join, "price_history": price_history})
 def product_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN4, SRC5: does an earlier row (stored or earlier in the batch) have this title?"""
     from listing_etl.plans import prices as PX
-    r = PX.previous_prices(T.new_batch(spark, sf_dir), T.stored_products(spark, sf_dir))
+    batch = T.new_batch(spark, sf_dir)
+    stored = _landed(spark, T.stored_products(spark, sf_dir), RD.stored_prices, titles=batch)
+    r = PX.previous_prices(batch, stored)
     return r.select("request_id", "title", "exists")
 
 
 def stored_previous_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5, TOP1, WIN1, SCL8: the previous price each new scrape reports."""
     from listing_etl.plans import prices as PX
-    r = PX.previous_prices(T.new_batch(spark, sf_dir), T.stored_products(spark, sf_dir))
+    batch = T.new_batch(spark, sf_dir)
+    stored = _landed(spark, T.stored_products(spark, sf_dir), RD.stored_prices, titles=batch)
+    r = PX.previous_prices(batch, stored)
     return r.select("request_id", "title", "previous_price", "code")
 
 
