@@ -48,10 +48,11 @@ def test_recall_and_exact_scores(spark):
 def test_copies_ties_and_unusable_vectors(spark):
     r = np.random.default_rng(1)
     x = {i: r.normal(size=5).astype(np.float32) for i in range(100)}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items()}
     for i in range(40, 100):
         x[i] = x[0]                     # copies of a query: ties by id
     rows = [(i, v.tolist(), 0, "c", "v") for i, v in x.items()]
-    bad = [(200, None), (220, [0.0] * 5), (240, [float("nan")] * 5), (260, [float("inf"), 0, 0, 0, 1.0]), (280, [1.0, None, 0.0, 0.0, 0.0]), (300, [1.0, 2.0]), (None, [1.0] * 5)]
+    bad = [(200, None), (220, [0.0] * 5), (240, [float("nan")] * 5), (260, [float("inf"), 0.0, 0.0, 0.0, 1.0]), (280, [1.0, None, 0.0, 0.0, 0.0]), (300, [1.0, 2.0]), (None, [1.0] * 5)]
     rows += [(i, v, 0, "c", "v") for i, v in bad] + [rows[0], rows[41]]
     got = run(spark, rows, probes=8, tables=12)
     want = brute(list(x), x)
