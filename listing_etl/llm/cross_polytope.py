@@ -12,7 +12,8 @@ for its smallest ids (as many as a query can need). Cells are cut into blocks of
 ``BLOCK_ROWS`` vectors by a hash, counted beforehand, and each block meets the queries of its
 cell in one task, so that a crowded axis is spread and nothing is dropped.
 
-All rows are indexed; rotations are drawn from a fixed seed and nothing is fitted. With the
+Candidates are near by angle and ranked by inner product: for vectors of very different
+lengths the recall is that of the angle. All rows are indexed; rotations are drawn from a fixed seed and nothing is fitted. With the
 parameters below the recall of the 20 best is above 0.9 on vectors of 64 dimensions without
 any structure (the hardest kind; see the tests).
 
