@@ -520,8 +520,9 @@ y AS (SELECT doc_id, quality AS y FROM labels WHERE quality IN (0, 1) AND doc_id
 t AS (SELECT count(*) FILTER (WHERE y = 1) AS t1, count(*) FILTER (WHERE y = 0) AS t0 FROM y),
 o AS (
   SELECT word, CASE WHEN word = '' THEN ln((t1 + 1.0::DOUBLE) / (t0 + 1.0::DOUBLE))
-                    ELSE ln((n1 + 1.0::DOUBLE) / (t1 + 2.0::DOUBLE)) - ln((n0 + 1.0::DOUBLE) / (t0 + 2.0::DOUBLE)) END AS odds
-  FROM (SELECT word, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM w JOIN y USING (doc_id) GROUP BY word), t
+                    ELSE ln((n1 + share) / (t1 + 1.0::DOUBLE)) - ln((n0 + 1.0::DOUBLE - share) / (t0 + 1.0::DOUBLE)) END AS odds
+  FROM (SELECT word, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM w JOIN y USING (doc_id) GROUP BY word),
+       (SELECT *, (t1 + 1.0::DOUBLE) / (t1 + t0 + 2.0::DOUBLE) AS share FROM t)
 ),
 scored AS (
   SELECT doc_id, CASE WHEN sum(CAST(round(coalesce(odds, 0) * 1e6) AS BIGINT)) > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label
