@@ -64,7 +64,7 @@ def _names(host: Column, long_suffixes: Sequence[str]) -> tuple[Column, Column]:
     return F.when(long_, last(3)).otherwise(last(2)), F.when(long_, last(2)).otherwise(last(1))
 
 
-def _strength(groups: DataFrame, rate: Column) -> Column:
+def _strength(rate: Column) -> Column:
     """Prior strength of groups (n, bad, and the rate expected of them) by moments: with N pages
     in m groups, the excess of the squared deviations over binomial noise is N/(s+1)-like."""
     noise = F.sum(rate * (1 - rate) * F.col("n"))
@@ -75,14 +75,12 @@ def _strength(groups: DataFrame, rate: Column) -> Column:
     return F.least(F.greatest(F.when(share > 0, 1 / share - 1).otherwise(F.lit(high)), F.lit(low)), F.lit(high))
 
 
-def _shrunk(groups: DataFrame, above: DataFrame | None, on: str | None, whole: DataFrame) -> DataFrame:
-    """``groups`` (n, bad) with the beta posterior (a, b) under the priors of the level above."""
-    with_prior = groups.crossJoin(F.broadcast(whole)) if above is None else groups.join(above, on)
+def _shrunk(with_prior: DataFrame) -> DataFrame:
+    """Groups (n, bad) with the beta posterior (a, b) under the prior (pa, pb) of the level above."""
     with_prior = with_prior.withColumn("rate", F.col("pa") / (F.col("pa") + F.col("pb")))
-    strength = F.broadcast(with_prior.agg(_strength(groups, F.col("rate")).alias("s")))   # one row
-    return (with_prior.crossJoin(strength)
-            .withColumn("a", F.col("s") * F.col("rate") + F.col("bad"))
-            .withColumn("b", F.col("s") * (1 - F.col("rate")) + F.col("n") - F.col("bad")))
+    s = F.lit(with_prior.agg(_strength(F.col("rate"))).first()[0])
+    return (with_prior.withColumn("a", s * F.col("rate") + F.col("bad"))
+            .withColumn("b", s * (1 - F.col("rate")) + F.col("n") - F.col("bad")))
 
 
 def reputations(outcomes: DataFrame, url: str = "url", bad: str = "bad", long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
@@ -94,14 +92,15 @@ def reputations(outcomes: DataFrame, url: str = "url", bad: str = "bad", long_su
     hosts = staged(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = hosts.agg((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5).alias("pa"),
-                      (F.coalesce(F.sum("n") - F.sum("bad"), F.lit(0.0)) + 0.5).alias("pb"))
+    n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+    pa, pb = bad + 0.5, n - bad + 0.5
     up = lambda df, name: df.select(name, F.col("a").alias("pa"), F.col("b").alias("pb"))
-    suffixes = staged(_shrunk(suffixes, None, None, whole).select("suffix", "a", "b"), "suffixes")
-    domains = staged(_shrunk(domains, up(suffixes, "suffix"), "suffix", whole).select("domain", "a", "b"), "domains")
-    host = _shrunk(hosts, up(domains, "domain"), "domain", whole)
+    suffixes = suffixes.withColumn("pa", F.lit(pa)).withColumn("pb", F.lit(pb))
+    suffixes = staged(_shrunk(suffixes).select("suffix", "a", "b"), "suffixes")
+    domains = staged(_shrunk(domains.join(up(suffixes, "suffix"), "suffix")).select("domain", "a", "b"), "domains")
+    host = _shrunk(hosts.join(up(domains, "domain"), "domain"))
     level = lambda df, name, kind: df.select(F.lit(kind).alias("level"), F.col(name).alias("name"), "a", "b")
-    known = whole.where(F.col("pa") + F.col("pb") > 1).select(F.lit("all").alias("level"), F.lit("").alias("name"), F.col("pa").alias("a"), F.col("pb").alias("b"))
+    known = hosts.sparkSession.createDataFrame([("all", "", pa, pb)] if n else [], "level string, name string, a double, b double")
     return level(host, "host", "host").union(level(domains, "domain", "domain")).union(level(suffixes, "suffix", "suffix")).union(known)
 
 
@@ -127,8 +126,8 @@ def judge(pages: DataFrame, posteriors: DataFrame, rules: Sequence[tuple[str, st
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     for kind, name in (("host", "host"), ("domain", "domain"), ("suffix", "suffix")):
         hosts = hosts.join(bounds.where(F.col("level") == kind).select(F.col("name").alias(name), F.col("bound").alias(f"by_{kind}")), name, "left")
-    whole = bounds.where(F.col("level") == "all").agg(F.max("bound").alias("by_all"))                      # one row
-    hosts = staged(hosts.crossJoin(F.broadcast(whole)).select(F.col("host").alias("name"), F.coalesce("by_host", "by_domain", "by_suffix", "by_all").alias("bound")), "bounds")
+    whole = F.lit(bounds.where(F.col("level") == "all").agg(F.max("bound")).first()[0]).cast("double")
+    hosts = staged(hosts.select(F.col("host").alias("name"), F.coalesce("by_host", "by_domain", "by_suffix", whole).alias("bound")), "bounds")
     joined = rows.join(hosts, rows["host"] == hosts["name"], "left")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > block_rate, "block").otherwise("allow")
