@@ -6,7 +6,7 @@ continuation records the others (WARC-Segment-Origin-ID, WARC-Segment-Number, an
 one WARC-Segment-Total-Length). Pages with a payload that another page has become revisit
 records without a payload, which refer to the response of the page with the largest id.
 Spark's text writer stores the records (the two line ends behind a record are its line
-separator) in files of bounded size, on any file system that Spark writes to.
+separator) in compressed files of bounded size, on any file system that Spark writes to.
 
 Reading: files are parsed by Content-Length. Segments are grouped by the id of their origin,
 ordered by number and joined; numbers must run from 1 without gaps and the length must equal
@@ -103,8 +103,8 @@ def page_records(key: str | None, url: str | None, payload: bytes, refers: str |
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-                   segment_bytes: int = SEGMENT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Write WARC files of all pages under ``path``."""
+                   segment_bytes: int = SEGMENT_BYTES, file_records: int = FILE_RECORDS, compression: str = "gzip") -> None:
+    """Write WARC files of all pages under ``path``; ``compression``: of Spark's text writer (gzip or none)."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"),
                         F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
     text = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path, compression=compression)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

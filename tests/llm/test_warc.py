@@ -24,10 +24,11 @@ def pages_of(spark):
     return spark.createDataFrame([(*x, "k", b"p") for x in rows], "page_id long, url string, html string, key string, payload binary"), rows, big
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_round_trip(spark, tmp_path, compression):
     pages, rows, big = pages_of(spark)
     path = str(tmp_path / "a")
-    W.write_archives(pages.repartition(3), path, segment_bytes=1000, file_records=40)
+    W.write_archives(pages.repartition(3), path, segment_bytes=1000, file_records=40, compression=compression)
     raw = W.read_records(spark, path)
     assert raw.where("type = 'continuation'").count() > 100
     got = W.reassemble(raw).collect()
