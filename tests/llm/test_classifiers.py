@@ -105,6 +105,13 @@ def test_quality_without_a_class_or_rows(spark):
     assert Q.score(docs.limit(0), m).count() == 0
 
 
+def test_many_and_odd_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b", *range(40)), (2, None, *range(40))], ["doc_id", "text", "a b-c", "row", *[f"c{i}" for i in range(38)]])
+    trees = Q.grow(np.zeros((0, len(Q.STATISTICS))), np.zeros(0))
+    for kept in (Q.keep_good(df, trees), T.keep_ordinary(df, T.KneserNey([], [], constant=0.0))):
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+
+
 def held_out(got, labels, label):
     by = {r["doc_id"]: r[label] for r in labels.collect()}
     return [(by[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in by]

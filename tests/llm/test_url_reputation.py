@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from listing_etl.llm import url_reputation as U
 from listing_etl.llm.queries import RULES
 

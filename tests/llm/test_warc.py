@@ -2,7 +2,6 @@ import gzip
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from listing_etl.llm import warc as W
 
