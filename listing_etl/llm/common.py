@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from listing_etl.session import configure, scratch_path, ship_package
 
@@ -46,8 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
             at += part.num_rows
 
 
-def append_columns(df: DataFrame, fields: str) -> str:
-    """DDL of ``df`` with more columns behind its own (for mapInArrow)."""
-    from pyspark.sql import types as T
+def append_columns(df: DataFrame, fields: str) -> T.StructType:
+    """Schema of ``df`` with more columns behind its own (for mapInArrow)."""
     extra = T.StructType.fromDDL(fields)
     return T.StructType(list(df.schema.fields) + list(extra.fields))

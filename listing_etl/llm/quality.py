@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listing_etl.llm.common import prepare, slices
+from listing_etl.llm.common import append_columns, prepare, slices
 
 SAMPLE_ROWS = 20_000
 #: Labels (12 bytes each) up to which they are broadcast; beyond it they are shuffled.
@@ -172,7 +172,7 @@ def _scored(df: DataFrame, model: Trees) -> DataFrame:
             s = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, score double")
+    return df.mapInArrow(run, append_columns(df.select("id"), "score double"))
 
 
 def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listing_etl.llm.common import prepare, slices
+from listing_etl.llm.common import append_columns, prepare, slices
 
 ORDER = 6
 CELL_BITS = 19
@@ -263,8 +263,7 @@ def _scored(df: DataFrame, model: KneserNey, by=KneserNey.score) -> DataFrame:
             s = pa.array(by(shared.value, b.column(at).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), s], names=[*rest, "score"])
 
-    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest), "score double"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, append_columns(df.select(*rest), "score double"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
