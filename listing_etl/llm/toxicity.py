@@ -14,7 +14,7 @@ goes through a logistic curve to 0..1.
 
 Counting covers all labelled training documents. A word counts once per document (what one
 document repeats is one piece of evidence). Tasks sum n-grams, Spark sums the tasks', and
-the model is a fixed number of hashed cells (about 50 MB), whatever the corpus; colliding
+the model is a fixed number of hashed cells (about 25 MB), whatever the corpus; colliding
 n-grams share a cell in both classes alike. The curve is fitted on a fold of the training
 rows that counting leaves out, of which at most ``calibration_rows`` are used, taken in the
 order of a hash.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from listing_etl.llm.common import append_columns, prepare, slices
 
 ORDER = 6
-CELL_BITS = 19
+CELL_BITS = 18
 DISCOUNT = 0.75
 #: Documents that the shared model weighs as much as in a class, in each context.
 STRENGTH = 100.0
@@ -52,9 +52,9 @@ CALIBRATION_ROWS = 20_000
 #: Labels (12 bytes each) up to which they are broadcast; beyond it they are shuffled.
 BROADCAST_LABELS = 2_000_000
 #: Distinct words whose difference a Python worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Distinct words that a counting task holds before it passes their n-grams on.
-COUNT_WORDS = 200_000
+COUNT_WORDS = 100_000
 THRESHOLD = 0.7
 
 _CELLS = 1 << CELL_BITS
@@ -219,8 +219,12 @@ def fit(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> KneserNey
     if not seen.all():
         model.constant = float(seen["b"] > 0)
         return model
-    curve = train.where(fold == 0).orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
-    sample = _scored(curve.select("id", "text", "toxic"), model, KneserNey.evidence).select("score", "toxic").toPandas()
+    # the sample is chosen by ids alone; its texts stay where they are
+    ids = train.where(fold == 0).select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
+    curve = train.where(fold == 0).join(F.broadcast(ids), "id", "left_semi")
+    shared = train.sparkSession.sparkContext.broadcast(model)
+    sample = _scored(curve.select("id", "text", "toxic"), shared, KneserNey.evidence).select("score", "toxic").toPandas()
+    shared.destroy(blocking=True)     # its files on the executors; the finished model is sent anew
     sample = sample.sort_values(["score", "toxic"])
     model.slope, model.offset = _curve(sample["score"].to_numpy(), sample["toxic"].to_numpy(dtype=np.float64))
     return model
@@ -253,9 +257,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(beta[1] - slope * mean)
 
 
-def _scored(df: DataFrame, model: KneserNey, by=KneserNey.score) -> DataFrame:
-    """Rows (id, text, ...) with a column score in place of the text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _scored(df: DataFrame, shared, by=KneserNey.score) -> DataFrame:
+    """Rows (id, text, ...) with a column score by the broadcast model in place of the text."""
     at, rest = df.columns.index("text"), [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +280,8 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id",
 def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of every row."""
     prepare(docs.sparkSession)
-    scored = _scored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), model)
+    scored = _scored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")),
+                     docs.sparkSession.sparkContext.broadcast(model))
     return scored.select(F.col("id").alias(key), "score")
 
 
@@ -285,4 +289,4 @@ def keep_ordinary(docs: DataFrame, model: KneserNey, text: str = "text", thresho
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     prepare(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("id"), F.col(text).cast("string").alias("text"))
-    return _scored(packed, model).where(F.col("score") < threshold).select("id.*")
+    return _scored(packed, docs.sparkSession.sparkContext.broadcast(model)).where(F.col("score") < threshold).select("id.*")
