@@ -13,11 +13,12 @@ off, and of what is left only the part above ``MARGIN`` counts; the sum per word
 goes through a logistic curve to 0..1.
 
 Counting covers all labelled training documents. A word counts once per document (what one
-document repeats is one piece of evidence). Tasks sum n-grams, Spark sums the tasks', and
-the model is a fixed number of hashed cells (about 25 MB), whatever the corpus; colliding
-n-grams share a cell in both classes alike. The curve is fitted on a fold of the training
-rows that counting leaves out, of which at most ``calibration_rows`` are used, taken in the
-order of a hash.
+document repeats is one piece of evidence). Counts are kept by exact n-gram in Spark tables
+that grow with the corpus; no n-grams share a count. Scoring takes the distinct n-grams of the
+documents and joins them with the counts, order by order, to one value for each. Up to
+``BROADCAST_GRAMS`` n-grams (counted first) their values are sent to the tasks, beyond it they
+are summed to words and meet the documents by a shuffle. The curve is fitted on a fold of the training rows that counting leaves out, of which at most
+``calibration_rows`` are used, taken in the order of a hash.
 
 Edge cases: null texts and texts without letters are scored as having no evidence; rows without a label or with a null label are scored but not
 learned from; several labels of one id count as toxic if one is; if a class has no
@@ -30,17 +31,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listing_etl.llm.common import append_columns, prepare, slices
+from listing_etl.llm.common import append_columns, prepare, slices, staged
 
 ORDER = 6
-CELL_BITS = 18
 DISCOUNT = 0.75
 #: Documents that the shared model weighs as much as in a class, in each context.
 STRENGTH = 100.0
@@ -51,180 +52,201 @@ CALIBRATION_FOLD = 5
 CALIBRATION_ROWS = 20_000
 #: Labels (12 bytes each) up to which they are broadcast; beyond it they are shuffled.
 BROADCAST_LABELS = 2_000_000
-#: Distinct words whose difference a Python worker remembers before it starts anew.
+#: Distinct n-grams of the documents (16 bytes each) up to which their values are broadcast.
+BROADCAST_GRAMS = 4_000_000
+#: Distinct words whose value a Python worker remembers before it starts anew.
 CACHE_WORDS = 250_000
-#: Distinct words that a counting task holds before it passes their n-grams on.
-COUNT_WORDS = 100_000
+#: Distinct words, and n-grams, that a task holds before it passes n-grams on.
+COUNT_WORDS, COUNT_GRAMS = 100_000, 500_000
 THRESHOLD = 0.7
 
-_CELLS = 1 << CELL_BITS
-_START, _END = 2, 3              # control characters, which no word has
+_START, _END = chr(2), chr(3)    # control characters, which no word has
+#: Values of n-grams are summed as whole numbers of this fraction: in any order the same sum.
+_UNIT = float(1 << 32)
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
-def spelled(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each character to be foretold (the end of the word is one): the cells of the n-grams
-    of orders 0 to ``ORDER`` that end at it, the cells of the 0 to ``ORDER`` - 1 characters in
-    front of it, and the number of its word."""
-    start = chr(_START) * (ORDER - 1)
-    text = start + (chr(_END) + start).join(words) + chr(_END)
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    at = np.flatnonzero(points != _START)
-
-    def hashed(last: int, most: int) -> list[np.ndarray]:
-        h, out = np.full(len(at), 7, dtype=np.uint64), [np.zeros(len(at), dtype=np.int64)]
-        for k in range(last, last + most):
-            h = (h ^ points[at - k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            out.append((h >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-        return out
-
-    end = points[at] == _END
-    return hashed(0, ORDER), hashed(1, ORDER - 1), np.cumsum(end) - end
-
-
-def _ngrams(count: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of words counted by (word, class), and their documents. An n-gram is two
-    longs: order, cells of what is inside it and of what stands in front of its last character,
-    class; cells of its last characters and of all of it."""
-    words, n = [w for w, _ in count], np.fromiter(count.values(), dtype=np.int64, count=len(count))
-    toxic = np.fromiter((c for _, c in count), dtype=np.int64, count=len(count))
-    cells, front, word = spelled(words)
-    rows, sums = [], []
-    for k in range(1, ORDER + 1):
-        inside = front[max(0, k - 2)]
-        one = ((k << CELL_BITS | inside) << CELL_BITS | front[k - 1]) << 1 | toxic[word]
-        key = np.stack([one, cells[k - 1] << CELL_BITS | cells[k]])
-        order = np.lexsort(key)
-        key, weight = key[:, order], n[word][order]
-        first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        rows.append(key[:, first])
-        sums.append(np.add.reduceat(weight, first))
-    return np.concatenate(rows, axis=1), np.concatenate(sums)
+def split(text: str | None) -> list[str]:
+    return words_of((text or "").lower())
+
+
+def spelled(words: list[str]) -> tuple[dict[int, np.ndarray], list[int]]:
+    """For each character to be foretold (the end of the word is one): the n-gram of the highest
+    order that ends at it (by order), and the number of its word."""
+    padded = [_START * (ORDER - 1) + w + _END for w in words]
+    grams = [t[i:i + ORDER] for t in padded for i in range(len(t) - ORDER + 1)]
+    return {ORDER: np.array(grams, dtype=object)}, [i for i, w in enumerate(words) for _ in range(len(w) + 1)]
+
+
+def _grams(df: DataFrame) -> DataFrame:
+    """Rows with a column ``word`` once for each n-gram (``gram``) of the highest order in it."""
+    at, names = df.columns.index("word"), [*df.columns, "gram"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1 << 17):
+            grams, word = spelled(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(word)) for c in b.columns), pa.array(grams[ORDER], pa.string())], names=names)
+
+    return df.mapInArrow(run, append_columns(df, "gram string"))
+
+
+def _hashed(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams of the highest order that end at these places of a text."""
+    h = np.full(len(at), 7, dtype=np.uint64)
+    for k in range(ORDER):
+        h = (h ^ points[at - k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) rows to documents by n-gram; memory is bounded by passing on."""
+    """(text, toxic) rows to documents by n-gram and class; memory is bounded by passing on."""
     held: Counter = Counter()
 
     def passed() -> pa.RecordBatch:
-        key, n = _ngrams(held)
-        return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(n)], names=["one", "two", "n"])
+        sums: dict = {}
+        for (w, toxic), n in held.items():
+            for g in spelled([w])[0][ORDER]:
+                sums.setdefault(g, [0, 0])[toxic] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([n[c] for n in sums.values()], pa.int64()) for c in (0, 1))],
+                                          names=["gram", "c0", "c1"])
 
     for b in slices(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.update([(w, toxic) for w in set(words_of((text or "").lower()))])
+            held.update([(w, toxic) for w in set(split(text))])
             if len(held) > COUNT_WORDS:
                 yield passed()
-                held = Counter()
+                held.clear()
+    if held:
+        yield passed()
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) rows to the n-grams of their words, each once in a while."""
+    seen, held = set(), set()
+
+    def passed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["gram"])
+
+    for b in slices(batches):
+        for text in b.column(0).to_pylist():
+            new = set(split(text)) - seen
+            seen |= new
+            held.update(spelled(list(new))[0][ORDER])
+            if len(seen) > COUNT_WORDS:
+                seen.clear()
+            if len(held) > COUNT_GRAMS:
+                yield passed()
+                held.clear()
     if held:
         yield passed()
 
 
+def _discounted(count: Column, total: Column, kinds: Column, below: Column, strength: float = 0.0) -> Column:
+    """Probability of an n-gram's last character; unknown contexts pass all on to what is below."""
+    count, total, kinds = (F.coalesce(c, F.lit(0)).cast("double") for c in (count, total, kinds))
+    known = total + F.lit(strength)
+    return F.when(known > 0, (F.greatest(count - DISCOUNT, F.lit(0.0)) + (kinds * DISCOUNT + strength) * below) / known).otherwise(below)
+
+
 @dataclass
 class KneserNey:
-    """Spelling models as arrays of cells: of each shared order, and of class 0 and 1, the
-    discounted counts of n-grams, a factor of contexts, and their weights for what is below."""
+    """Spelling models as tables of exact n-grams, by order: documents or shared counts of the
+    n-grams (``cell``, ``a``, ``b``), and of contexts (``cell``, ``a``, ``b``) the same and the
+    kinds of n-grams after them (``ka``, ``kb``, of both together ``k``)."""
 
-    shared: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    counts: list[DataFrame]
+    contexts: list[DataFrame]
     slope: float = 1.0
     offset: float = 0.0
     constant: float | None = None
-    known: dict = field(default_factory=dict)
 
-    def differences(self, words: list[str]) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word."""
-        cells, front, word = spelled(words)
-        p = np.float32(1 / 1024)      # of a character that was never seen
-        for k, (count, factor, weight) in enumerate(self.shared, start=1):
-            p = count[cells[k]] * factor[front[k - 1]] + weight[front[k - 1]] * p
-        at, before = cells[ORDER], front[ORDER - 1]
-        c, t = (np.log(count[at] * factor[before] + weight[before] * p) for count, factor, weight in self.classes)
-        return np.bincount(word, weights=t - c, minlength=len(words))
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """What stands out as toxic, per word, of each text; 0 without words."""
-        split = [words_of((t or "").lower()) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in self.known]
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
-            self.known.update(zip(part, self.differences(part).tolist()))
-        out = np.zeros(len(texts))
-        for i, s in enumerate(split):
-            if s:
-                v = np.fromiter(map(self.known.__getitem__, s), dtype=np.float64, count=len(s))
-                out[i] = np.maximum(v - np.median(v) - MARGIN, 0).mean()
-        return out
+    def differences(self, every: DataFrame) -> DataFrame:
+        """``gram`` and ``value``, toxic less ordinary log-likelihood of the last character in
+        whole ``_UNIT``s, of distinct n-grams of the highest order."""
+        p = None
+        for k in range(1, ORDER + 1):
+            # a context has as many n-grams as there are characters, and so has an ending
+            g = every.select(F.col("gram").substr(ORDER + 1 - k, k).alias("g")).distinct()
+            n, c = self.counts[k - 1].withColumnRenamed("cell", "g"), self.contexts[k - 1]
+            c = c.select(F.col("cell").alias("front"), F.col("a").alias("ta"), F.col("b").alias("tb"), "ka", "kb", "k")
+            g = g.withColumn("front", F.substring("g", 1, k - 1)).join(n, "g", "left").join(c, "front", "left")
+            if p is None:
+                g = g.withColumn("below", F.lit(1 / 1024))      # a character that was never seen
+            else:
+                g = g.withColumn("short", F.substring("g", 2, k - 1)).join(p.select(F.col("g").alias("short"), F.col("p").alias("below")), "short")
+            both = (F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)) for x, y in (("a", "b"), ("ta", "tb")))
+            p = g.withColumn("p", _discounted(*both, F.col("k"), F.col("below")))
+        toxic = _discounted(F.col("b"), F.col("tb"), F.col("kb"), F.col("p"), STRENGTH)
+        ordinary = _discounted(F.col("a"), F.col("ta"), F.col("ka"), F.col("p"), STRENGTH)
+        return p.select(F.col("g").alias("gram"), F.round((F.log(toxic) - F.log(ordinary)) * _UNIT).cast("long").alias("value"))
+
+    def evidence(self, values: np.ndarray) -> float:
+        """What stands out as toxic, per word, in a text of these word values; 0 without words."""
+        return float(np.maximum(values - np.median(values) - MARGIN, 0).mean()) if len(values) else 0.0
+
+    def probability(self, values: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.evidence(values) + self.offset, -50, 50))))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.offset, -50, 50)))
+        df = self.counts[0].sparkSession.createDataFrame(list(enumerate(texts)), "id long, text string")
+        return np.array([r["score"] for r in sorted(_scored(df, self).collect())])
 
 
 def model_cells(train: DataFrame) -> DataFrame:
-    """Sums by kind, order and cell of rows (text, toxic): at most as many rows as the model has
-    cells, whatever the corpus. Kinds: 0 n-grams, 1 counts of contexts, 2 kinds of n-grams after
-    contexts, 3 the same of both classes together. In the highest order a and b are documents of
-    class 0 and 1; below it a is the shared count."""
-    rows = train.select("text", "toxic").mapInArrow(_count, "one long, two long, n long")
-    bit, mask = F.col("one").bitwiseAND(F.lit(1)), F.lit(_CELLS - 1)
-    grams = rows.groupBy(F.shiftright("one", 1).alias("one"), "two").agg(
-        F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("c0"),
-        F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("c1"))
-    k = F.shiftright("one", 2 * CELL_BITS).cast("int")
-    inside, front = F.shiftright("one", CELL_BITS).bitwiseAND(mask), F.col("one").bitwiseAND(mask)
-    short, cell = F.shiftright("two", CELL_BITS), F.col("two").bitwiseAND(mask)
+    """Sums by kind, order and n-gram of rows (text, toxic). Kinds: 0 n-grams, 1 counts of
+    contexts, 2 kinds of n-grams after contexts, 3 the same of both classes together. In the
+    highest order a and b are documents of class 0 and 1; below it a is the shared count, of
+    different characters in front."""
+    rows = train.select("text", "toxic").mapInArrow(_count, "gram string, c0 long, c1 long")
+    grams = staged(rows.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "model-grams")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    def row(kind, order, at, a, b):
-        return F.struct(F.lit(kind).alias("kind"), order.alias("k"), at.cast("int").alias("cell"), a.alias("a"), b.alias("b"))
+    def row(kind, order, cell, a, b):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("k"), cell.alias("cell"), a.alias("a"), b.alias("b"))
 
     some = lambda c: (F.col(c) > 0).cast("long")
-    below = [row(0, k - 1, short, one, zero), row(1, k - 1, inside, one, zero)]
-    made = (F.when(k == 1, F.array(row(2, k, front, one, zero)))
-            .when(k < ORDER, F.array(row(2, k, front, one, zero), *below))
-            .otherwise(F.array(row(0, k, cell, F.col("c0"), F.col("c1")), row(1, k, front, F.col("c0"), F.col("c1")),
-                               row(2, k, front, some("c0"), some("c1")), row(3, k, front, one, zero), *below)))
-    return grams.select(F.explode(made).alias("r")).groupBy("r.kind", "r.k", "r.cell").agg(
-        F.sum("r.a").cast("float").alias("a"), F.sum("r.b").cast("float").alias("b"))
+    made = None
+    for k in range(1, ORDER + 1):
+        g, front = F.col("gram"), F.substring("gram", 1, k - 1)
+        below = [row(0, k - 1, F.substring("gram", 2, k - 1), one, zero), row(1, k - 1, F.substring("gram", 2, k - 2), one, zero)] if k > 1 else []
+        if k < ORDER:
+            part = grams.select(F.col("gram").substr(ORDER + 1 - k, k).alias("gram")).distinct()
+            kinds = [row(2, k, front, one, zero)]
+        else:
+            part = grams
+            kinds = [row(0, k, g, F.col("c0"), F.col("c1")), row(1, k, front, F.col("c0"), F.col("c1")), row(2, k, front, some("c0"), some("c1")), row(3, k, front, one, zero)]
+        part = part.select(F.explode(F.array(*kinds, *below)).alias("r"))
+        made = part if made is None else made.union(part)
+    return made.groupBy("r.kind", "r.k", "r.cell").agg(F.sum("r.a").alias("a"), F.sum("r.b").alias("b"))
 
 
 def fit(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> KneserNey:
     """Models and curve from rows (id, text, toxic), toxic 0 or 1."""
     prepare(train.sparkSession)
     fold = F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(CALIBRATION_FOLD))
-    got = model_cells(train.where(fold != 0)).toPandas()
-    what, cell = (got["kind"] * 16 + got["k"]).to_numpy(), got["cell"].to_numpy()
-
-    def order(k: int, sides: list[str], kinds: int = 2, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = got[sides].sum(axis=1).to_numpy()
-        sums = [np.zeros(_CELLS, dtype=np.float32) for _ in range(3)]
-        for kind, into in zip((0, 1, kinds), sums):
-            mine = what == kind * 16 + k
-            into[cell[mine]] = values[mine]
-        count, total, after = sums
-        known = total + strength > 0
-        factor = np.divide(1, total + strength, out=np.zeros_like(total), where=known)
-        # hashed contexts can have more kinds than counts: a weight stays a share; unknown contexts pass all on
-        weight = np.where(known, np.minimum((DISCOUNT * after + strength) * factor, 1), 1).astype(np.float32)
-        return np.maximum(count - DISCOUNT, 0), factor, weight
-
-    shared = [*(order(k, ["a"]) for k in range(1, ORDER)), order(ORDER, ["a", "b"], 3)]
-    model = KneserNey(shared, [order(ORDER, [c], 2, STRENGTH) for c in "ab"])
-    seen = got[got["kind"].eq(1) & got["k"].eq(ORDER)][["a", "b"]].sum()
-    if not seen.all():
-        model.constant = float(seen["b"] > 0)
+    cells = staged(model_cells(train.where(fold != 0)), "model-cells")
+    is_ = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
+    around = staged(cells.where("kind > 0").groupBy("k", "cell").agg(
+        is_(1, "a").alias("a"), is_(1, "b").alias("b"), is_(2, "a").alias("ka"), is_(2, "b").alias("kb"),
+        F.when(F.col("k") < ORDER, is_(2, "a")).otherwise(is_(3, "a")).alias("kinds")), "model-contexts")
+    orders = range(1, ORDER + 1)
+    model = KneserNey([cells.where((F.col("kind") == 0) & (F.col("k") == k)).select("cell", "a", "b") for k in orders],
+                      [around.where(F.col("k") == k).select("cell", "a", "b", "ka", "kb", F.col("kinds").alias("k")) for k in orders])
+    seen = model.counts[-1].agg(F.sum("a"), F.sum("b")).first()
+    if not (seen[0] and seen[1]):
+        model.constant = float(bool(seen[1]))
         return model
     # the sample is chosen by ids alone; its texts stay where they are
     ids = train.where(fold == 0).select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
-    curve = train.where(fold == 0).join(F.broadcast(ids), "id", "left_semi")
-    shared = train.sparkSession.sparkContext.broadcast(model)
-    sample = _scored(curve.select("id", "text", "toxic"), shared, KneserNey.evidence).select("score", "toxic").toPandas()
-    shared.destroy(blocking=True)     # its files on the executors; the finished model is sent anew
+    curve = staged(train.where(fold == 0).join(F.broadcast(ids), "id", "left_semi").select("id", "text", "toxic"), "curve")
+    sample = _scored(curve, model, KneserNey.evidence).select("score", "toxic").toPandas()
     sample = sample.sort_values(["score", "toxic"])
     model.slope, model.offset = _curve(sample["score"].to_numpy(), sample["toxic"].to_numpy(dtype=np.float64))
     return model
@@ -257,18 +279,94 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(beta[1] - slope * mean)
 
 
-def _scored(df: DataFrame, shared, by=KneserNey.score) -> DataFrame:
-    """Rows (id, text, ...) with a column score by the broadcast model in place of the text."""
-    at, rest = df.columns.index("text"), [c for c in df.columns if c != "text"]
+@dataclass
+class Lexicon:
+    """Values of n-grams by hash, and of the words that were asked for lately."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    known: dict = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.hashes, self.values
+
+    def __setstate__(self, state):
+        self.hashes, self.values, self.known = *state, {}
+
+    def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The values of each text's words."""
+        words = [split(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(w for s in words for w in s) if w not in self.known]
+        for i in range(0, len(new), 50_000):
+            part = new[i:i + 50_000]
+            start = _START * (ORDER - 1)
+            points = _points(start + (_END + start).join(part) + _END)
+            h = _hashed(points, np.flatnonzero(points != ord(_START)))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            if (self.hashes[at] != h).any():
+                raise ValueError("the documents changed while they were scored")
+            first = np.r_[0, np.cumsum([len(w) + 1 for w in part])[:-1]]
+            self.known.update(zip(part, (np.add.reduceat(self.values[at], first) / _UNIT).tolist()))
+        for s in words:
+            yield np.fromiter(map(self.known.__getitem__, s), dtype=np.float64, count=len(s))
+
+
+def _lexicon(values: DataFrame) -> Lexicon:
+    got = values.toArrow()
+    points = _points("".join(got["gram"].to_pylist()))
+    h = _hashed(points, np.arange(ORDER - 1, len(points), ORDER))
+    order = np.argsort(h)
+    return Lexicon(h[order], got["value"].to_numpy()[order])
+
+
+def _scored(df: DataFrame, model: KneserNey, by=KneserNey.probability) -> DataFrame:
+    """Rows (id, text, ...) with a column score in place of the text."""
+    spark, at, rest = df.sparkSession, df.columns.index("text"), [c for c in df.columns if c != "text"]
+    if model.constant is not None:
+        return df.select(*rest, F.lit(model.constant).alias("score"))
+    grams = staged(df.select("text").mapInArrow(_distinct, "gram string").distinct(), "grams")
+    values = staged(model.differences(grams), "values")
+    # the tables stay behind: a task needs the numbers only
+    judge = partial(by, replace(model, counts=[], contexts=[]))
+    if values.count() > BROADCAST_GRAMS:
+        return _scored_by_shuffle(df, values, judge)
+    shared = spark.sparkContext.broadcast(_lexicon(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            s = pa.array(by(shared.value, b.column(at).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), s], names=[*rest, "score"])
+            s = [judge(v) for v in shared.value.texts(b.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(s, pa.float64())], names=[*rest, "score"])
 
     return df.mapInArrow(run, append_columns(df.select(*rest), "score double"))
 
 
+def _scored_by_shuffle(df: DataFrame, values: DataFrame, judge) -> DataFrame:
+    """The same for any number of words: the words of each distinct text meet their values."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = Counter(split(text))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["digest", "word", "n"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            s = [judge(np.repeat([x["value"] for x in v], [x["n"] for x in v])) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["digest", "score"])
+
+    each = df.select(digest.alias("digest"), "text").mapInArrow(words, "digest string, word string, n long").distinct()
+    each = staged(each, "text-words")
+    lexicon = _grams(each.select("word").distinct()).join(values, "gram").groupBy("word").agg((F.sum("value") / _UNIT).alias("value"))
+    texts = each.join(lexicon, "word").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("values"))
+    scores = staged(texts.mapInArrow(judged, "digest string, score double"), "scores")
+    rest = [F.col(f"row.{c}").alias(c) for c in df.columns if c != "text"]
+    rows = df.select(F.struct(*(c for c in df.columns if c != "text")).alias("row"), digest.alias("digest"))
+    return rows.join(scores, "digest", "left").select(*rest, F.coalesce("score", F.lit(judge(np.zeros(0)))).alias("score"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(id, text, toxic) of the labelled rows that are not held out."""
     y = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
@@ -280,8 +378,7 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id",
 def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of every row."""
     prepare(docs.sparkSession)
-    scored = _scored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")),
-                     docs.sparkSession.sparkContext.broadcast(model))
+    scored = _scored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), model)
     return scored.select(F.col("id").alias(key), "score")
 
 
@@ -289,4 +386,4 @@ def keep_ordinary(docs: DataFrame, model: KneserNey, text: str = "text", thresho
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     prepare(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("id"), F.col(text).cast("string").alias("text"))
-    return _scored(packed, docs.sparkSession.sparkContext.broadcast(model)).where(F.col("score") < threshold).select("id.*")
+    return _scored(packed, model).where(F.col("score") < threshold).select("id.*")

@@ -129,3 +129,24 @@ def test_queries_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in good)
     pairs = held_out(good, labels, "quality")
     assert sum(a == b for a, b in pairs) > 0.95 * len(pairs)
+
+
+def test_counts_of_different_ngrams_never_merge(spark):
+    """Far more n-grams than any fixed number of cells: each has its own count."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(12_000)]
+    rows = [(i, " ".join(words[i * 100:i * 100 + 100]), i % 2) for i in range(120)]
+    got = T.model_cells(spark.createDataFrame(rows, "id long, text string, toxic int").select("text", "toxic")).where("kind = 0 and k = %d" % T.ORDER)
+    distinct = {("\2" * 5 + w + "\3")[i:i + 6] for w in words for i in range(31)}
+    assert len(distinct) > 300_000 and got.count() == len(distinct)
+
+
+def test_toxicity_beyond_broadcasting_scores_the_same(spark, monkeypatch):
+    rows = corpus(n=120)
+    model = T.fit(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    docs = spark.createDataFrame([(i, t, "a") for i, t, _ in rows] + [(None, None, "a"), (-1, "", "b"), (0, rows[0][1], "c")], "doc_id long, text string, id string")
+    near = sorted((r["doc_id"] or -9, r["score"]) for r in T.score(docs, model).collect())
+    monkeypatch.setattr(T, "BROADCAST_GRAMS", -1)
+    far = sorted((r["doc_id"] or -9, r["score"]) for r in T.score(docs, model).collect())
+    assert [i for i, _ in near] == [i for i, _ in far] and np.allclose([s for _, s in near], [s for _, s in far])
+    assert T.keep_ordinary(docs, model).columns == docs.columns
