@@ -9,8 +9,9 @@ n-gram. An expression that a class knows little gets its probability from these
 
 A word's evidence is its toxic less its ordinary log-likelihood. Its level depends on the
 language and topic of a text (shares of the classes), so the median word of the text is taken
-off, and of what is left only the part above ``MARGIN`` counts; the sum per word of the text
-goes through a logistic curve to 0..1.
+off, but never more than nearly all ordinary training documents have as their median: a text
+of insults only does not set its own level. Of what is left only the part above ``MARGIN``
+counts; the sum per word of the text goes through a logistic curve to 0..1.
 
 Counting covers all labelled training documents. A word counts once per document (what one
 document repeats is one piece of evidence). Counts are kept by exact n-gram in Spark tables
@@ -47,6 +48,8 @@ DISCOUNT = 0.75
 STRENGTH = 100.0
 #: Log-likelihood (nats per word) within which a word does not stand out from its text.
 MARGIN = 1.0
+#: Share of the ordinary training documents whose median word is at most the highest level.
+LEVEL_SHARE = 0.99
 #: One of so many training rows is kept for the curve.
 CALIBRATION_FOLD = 5
 CALIBRATION_ROWS = 20_000
@@ -164,6 +167,7 @@ class KneserNey:
     slope: float = 1.0
     offset: float = 0.0
     constant: float | None = None
+    level: float = 0.0
 
     def differences(self, every: DataFrame) -> DataFrame:
         """``gram`` and ``value``, toxic less ordinary log-likelihood of the last character in
@@ -187,7 +191,10 @@ class KneserNey:
 
     def evidence(self, values: np.ndarray) -> float:
         """What stands out as toxic, per word, in a text of these word values; 0 without words."""
-        return float(np.maximum(values - np.median(values) - MARGIN, 0).mean()) if len(values) else 0.0
+        return float(np.maximum(values - min(np.median(values), self.level) - MARGIN, 0).mean()) if len(values) else 0.0
+
+    def middle(self, values: np.ndarray) -> float:
+        return float(np.median(values)) if len(values) else 0.0
 
     def probability(self, values: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.evidence(values) + self.offset, -50, 50))))
@@ -246,7 +253,10 @@ def fit(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> KneserNey
     # the sample is chosen by ids alone; its texts stay where they are
     ids = train.where(fold == 0).select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
     curve = staged(train.where(fold == 0).join(F.broadcast(ids), "id", "left_semi").select("id", "text", "toxic"), "curve")
-    sample = _scored(curve, model, KneserNey.evidence).select("score", "toxic").toPandas()
+    values = _values(curve, model)
+    middle = _scored(curve, model, KneserNey.middle, values).where("toxic = 0").select("score").toPandas()["score"]
+    model.level = float(middle.quantile(LEVEL_SHARE)) if len(middle) else 0.0
+    sample = _scored(curve, model, KneserNey.evidence, values).select("score", "toxic").toPandas()
     sample = sample.sort_values(["score", "toxic"])
     model.slope, model.offset = _curve(sample["score"].to_numpy(), sample["toxic"].to_numpy(dtype=np.float64))
     return model
@@ -321,13 +331,18 @@ def _lexicon(values: DataFrame) -> Lexicon:
     return Lexicon(h[order], got["value"].to_numpy()[order])
 
 
-def _scored(df: DataFrame, model: KneserNey, by=KneserNey.probability) -> DataFrame:
+def _values(df: DataFrame, model: KneserNey) -> DataFrame:
+    """Values of the n-grams of the texts."""
+    grams = staged(df.select("text").mapInArrow(_distinct, "gram string").distinct(), "grams")
+    return staged(model.differences(grams), "values")
+
+
+def _scored(df: DataFrame, model: KneserNey, by=KneserNey.probability, values: DataFrame | None = None) -> DataFrame:
     """Rows (id, text, ...) with a column score in place of the text."""
     spark, at, rest = df.sparkSession, df.columns.index("text"), [c for c in df.columns if c != "text"]
     if model.constant is not None:
         return df.select(*rest, F.lit(model.constant).alias("score"))
-    grams = staged(df.select("text").mapInArrow(_distinct, "gram string").distinct(), "grams")
-    values = staged(model.differences(grams), "values")
+    values = _values(df, model) if values is None else values
     # the tables stay behind: a task needs the numbers only
     judge = partial(by, replace(model, counts=[], contexts=[]))
     if values.count() > BROADCAST_GRAMS:

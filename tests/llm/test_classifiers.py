@@ -150,3 +150,9 @@ def test_toxicity_beyond_broadcasting_scores_the_same(spark, monkeypatch):
     far = sorted((r["doc_id"] or -9, r["score"]) for r in T.score(docs, model).collect())
     assert [i for i, _ in near] == [i for i, _ in far] and np.allclose([s for _, s in near], [s for _, s in far])
     assert T.keep_ordinary(docs, model).columns == docs.columns
+
+
+def test_texts_of_insults_only_are_toxic(spark):
+    model = T.fit(spark.createDataFrame(corpus(), "id long, text string, toxic int"))
+    s = model.score(["zgrokabd", "zgrokabd zgrokabd zgrokabd", "zgrokfeg zgrokbad zgrokdef zgrokgag", "zgrokabd zgrokfeg " * 500, "", corpus()[1][1]])
+    assert (s[:4] >= T.THRESHOLD).all() and (s[4:] < T.THRESHOLD).all()
