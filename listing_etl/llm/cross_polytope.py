@@ -10,7 +10,9 @@ hands on each query's best; the best over all cells are the result.
 Equal vectors are gathered first: a vector with any number of copies is hashed once and stands
 for its smallest ids (as many as a query can need). Cells are cut into blocks of about
 ``BLOCK_ROWS`` vectors by a hash, counted beforehand, and each block meets the queries of its
-cell in one task, so that a crowded axis is spread and nothing is dropped.
+cell in one task, so that a crowded axis is spread and nothing is dropped. Queries whose cells
+hold fewer rows than they can get (small tables, few distinct vectors) are ranked against all
+distinct vectors, in blocks of queries and rows.
 
 Candidates are near by angle and ranked by inner product: for vectors of very different
 lengths the recall is that of the angle. All rows are indexed; rotations are drawn from a fixed seed and nothing is fitted. With the
@@ -121,6 +123,12 @@ def _best(df: DataFrame, by: str, k: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
 
 
+def _named(found: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The best of the ranked vectors, with the ids that they stand for."""
+    found = _best(staged(found.dropDuplicates(["query", "row"]), "found"), "query", k + 1)
+    return found.join(ids.select("row", "id"), "row").where(F.col("query") != F.col("id"))
+
+
 def usable(vector: Column) -> Column:
     """The vector, or null if it can take no part."""
     v = vector
@@ -149,13 +157,25 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, k
     blocks = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
     # that is 2 * d * tables rows at most; blocks of a row: one, of a query: all of its cell
     dealt = cells.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vector")
-    asked = given.where(is_query(F.col("id"))).select(F.col("id").alias("query"), "vector")
+    wanted = given.where(is_query(F.col("id"))).select(F.col("id").alias("query"), "vector")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    asked = staged(_cells(asked, d, tables, probes, "query"), "probes").join(blocks, "cell").select("cell", every, "query", "vector")
+    asked = staged(_cells(wanted, d, tables, probes, "query"), "probes").join(blocks, "cell").select("cell", every, "query", "vector")
     # one vector more than asked for: the query's own may be among them
     found = asked.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(_rank(k + 1, d), "query long, row long, score double")
-    found = _best(staged(found.dropDuplicates(["query", "row"]), "found"), "query", k + 1)
-    named = found.join(ids.select("row", "id"), "row").where(F.col("query") != F.col("id"))
+    named = staged(_named(found, ids, k), "named")
+    # candidates of a query: all rows without its own
+    own = wanted.groupBy("query").agg((F.lit(given.count()) - F.count("*")).alias("candidates"))
+    got = own.join(named.groupBy("query").agg(F.count("*").alias("got")), "query", "left")
+    short = staged(got.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "candidates")).select("query"), "short")
+    n = short.count()
+    if n:
+        sizes = [-(-n // block_rows), -(-distinct.count() // block_rows)]
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = wanted.join(short, "query", "left_semi").select(deal("query", sizes[0]).alias("cell"), all_of(sizes[1]).alias("block"), "query", "vector")
+        right = distinct.select(all_of(sizes[0]).alias("cell"), deal("row", sizes[1]).alias("block"), "row", "vector")
+        found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(_rank(k + 1, d), "query long, row long, score double")
+        named = named.join(short, "query", "left_anti").unionByName(_named(found, ids, k).select(*named.columns))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         F.col("query").alias("query_id"), "rank", F.col("id").alias(key), "score")

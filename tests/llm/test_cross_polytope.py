@@ -68,3 +68,14 @@ def test_few_and_no_rows(spark):
     assert [i for i, *_ in run(spark, rows)[0]] == [1, 2]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row int, cell string, vector string")
     assert C.search(df.limit(0), is_query).count() == 0
+
+
+def test_small_tables_give_all_they_have(spark):
+    r = np.random.default_rng(3)
+    for n, block_rows in ((10, 4), (30, 2000)):
+        x = r.normal(size=(n, 64)).astype(np.float32)
+        got = run(spark, [(i, x[i].tolist(), 0, "c", "v") for i in range(n)], block_rows=block_rows)
+        for q, (best, s) in brute(range(n), dict(enumerate(x))).items():
+            # a query that was short has the exact rows, any other as many as were asked for
+            assert len(got[q]) == min(20, n - 1) and all(abs(s[i] - score) < 1e-9 for i, score, _ in got[q])
+            assert n > 21 or [i for i, *_ in got[q]] == best
