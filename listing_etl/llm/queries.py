@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listing_etl.llm import cross_polytope, decontaminate, oracles, quality, sentencepiece_codec, sharding, simhash, site_text, toxicity, url_reputation, warc
+from listing_etl.llm import (cross_polytope, decontaminate, oracles, quality, secret_scan, sentencepiece_codec, sharding, simhash, site_text, toxicity,
+                             url_reputation, warc)
 from listing_etl.llm.common import prepare, staged, table
 from listing_etl.session import scratch_path
 
@@ -108,8 +109,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_shards, op2_url_reputation, op3_cross_polytope, op4_sentencepiece, op5_decontaminate,
-                                   op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text)}
+                                   op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text, op11_secret_scan)}
 
 ORACLES = {"op2_url_reputation": oracles.url_reputation(RULES), "op5_decontaminate": oracles.DECONTAMINATE,
            "op8_warc": oracles.WARC, "op10_main_text": oracles.MAIN_TEXT}
