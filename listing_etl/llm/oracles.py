@@ -111,3 +111,43 @@ SELECT page_id, host, path, {pick(lambda h, p, v: h + p)} AS rule,
 FROM p JOIN names USING (host) LEFT JOIN bounds h ON h.lv = 'host' AND h.nm = host LEFT JOIN bounds d ON d.lv = 'domain' AND d.nm = domain
 LEFT JOIN bounds s ON s.lv = 'suffix' AND s.nm = suffix LEFT JOIN bounds w ON w.lv = 'all'
 """
+
+
+#: Whether 2 divides the CRC-32 of the decimal id, bit by bit; null ids: no.
+_CRC32_EVEN = """coalesce(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+  lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) & 1 = 1, false)"""
+
+
+def merkle(levels: int = 12, upper: int = 6) -> str:
+    """Levels unrolled: up to 3 ** ``levels`` rows of a source, 3 ** ``upper`` sources."""
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = "CASE WHEN even THEN replace(text, chr(10), '') ELSE text END"
+    leaf = f"sha256({' || '.join(field(c) for c in fields)})"
+    found = f"sha256({' || '.join([*(field(c) for c in fields[:4]), field(f'({tampered})')])})"
+
+    def tree(name: str, n: int) -> str:
+        up = ", ".join(f"""
+{name}{i + 1} AS (SELECT tree, p // 3 AS p, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h, (n + 2) // 3 AS n FROM {name}{i} GROUP BY tree, p // 3, n)""" for i in range(n))
+        run = "string_agg(h, '') OVER (PARTITION BY tree, p // 3 ORDER BY p ROWS BETWEEN"
+        around = ", ".join(f"""
+s{name}{i} AS (SELECT tree, p, n, coalesce({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i})""" for i in range(n))
+        return f"{up}, {around}"
+
+    steps = [("a", i, "f.tree", f"f.p // {3 ** i}") for i in range(levels)] + [("u", i, "''", f"f.rank // {3 ** i}") for i in range(upper)]
+    path = ", ".join(f"""
+f{k + 1} AS (SELECT f.* EXCLUDE (fold, proof), CASE WHEN s.n > 1 THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold, f.proof || s.l || s.r AS proof
+  FROM f{k} f JOIN s{name}{i} s ON s.tree = {tree_} AND s.p = {place})""" for k, (name, i, tree_, place) in enumerate(steps))
+    return f"""
+WITH d AS (SELECT *, {_CRC32_EVEN} AS even FROM documents),
+leaves AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {leaf} AS leaf, {found} AS found FROM d),
+a AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+a0 AS (SELECT tree, p, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM a), {tree('a', levels)},
+u AS (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank FROM a{levels}),
+u0 AS (SELECT '' AS tree, rank AS p, subroot AS h, count(*) OVER () AS n FROM u), {tree('u', upper)},
+f0 AS (SELECT doc_id, leaf, tree, p, subroot, rank, found AS fold, '' AS proof FROM a JOIN u ON u.source = a.tree), {path}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+FROM f{len(steps)}, u{upper}
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listing_etl.llm import (cross_polytope, decontaminate, oracles, quality, secret_scan, sentencepiece_codec, sharding, simhash, site_text, toxicity,
+from listing_etl.llm import (cross_polytope, decontaminate, merkle, oracles, quality, secret_scan, sentencepiece_codec, sharding, simhash, site_text, toxicity,
                              url_reputation, warc)
 from listing_etl.llm.common import prepare, staged, table
 from listing_etl.session import scratch_path
@@ -113,8 +113,17 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has an even CRC-32 are checked without the line ends of their text."""
+    def tampered(c: dict[str, Column]) -> list[Column]:
+        cut = F.when(F.pmod(F.crc32(c["doc_id"].cast("string").cast("binary")), F.lit(2)) == 0, F.replace(c["text"], F.lit("\n"), F.lit("")))
+        return [F.coalesce(cut, c["text"]) if name == "text" else c[name] for name in c]
+
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
 QUERIES = {f.__name__: f for f in (op1_shards, op2_url_reputation, op3_cross_polytope, op4_sentencepiece, op5_decontaminate,
-                                   op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text, op11_secret_scan)}
+                                   op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text, op11_secret_scan, op12_merkle)}
 
 ORACLES = {"op2_url_reputation": oracles.url_reputation(RULES), "op5_decontaminate": oracles.DECONTAMINATE,
-           "op8_warc": oracles.WARC, "op10_main_text": oracles.MAIN_TEXT}
+           "op8_warc": oracles.WARC, "op10_main_text": oracles.MAIN_TEXT, "op12_merkle": oracles.merkle()}
