@@ -113,6 +113,23 @@ LEFT JOIN bounds s ON s.lv = 'suffix' AND s.nm = suffix LEFT JOIN bounds w ON w.
 """
 
 
+_TERMS = ("unnest(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")
+
+LEXICAL = f"""
+WITH w AS (SELECT r, doc_id, {_TERMS.format(text='text')} AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+d AS (SELECT r, doc_id, count(*) AS n FROM w GROUP BY r, doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM w GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, {_TERMS.format(text='text')} AS term FROM benchmark WHERE item_id IS NOT NULL),
+x AS (SELECT q.item_id, d.doc_id, d.r, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT)
+          * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total))))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d USING (r), s GROUP BY q.item_id, d.doc_id, d.r),
+best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM best WHERE rank <= 50
+"""
+
 #: Whether 2 divides the CRC-32 of the decimal id, bit by bit; null ids: no.
 _CRC32_EVEN = """coalesce(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
   lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) & 1 = 1, false)"""

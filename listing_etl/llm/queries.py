@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listing_etl.llm import (cross_polytope, decontaminate, merkle, oracles, quality, secret_scan, sentencepiece_codec, sharding, simhash, site_text, toxicity,
+from listing_etl.llm import (cross_polytope, decontaminate, lexical_search, merkle, oracles, quality, secret_scan, sentencepiece_codec, sharding, simhash, site_text, toxicity,
                              url_reputation, warc)
 from listing_etl.llm.common import prepare, staged, table
 from listing_etl.session import scratch_path
@@ -122,8 +122,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("rank", F.col("rank").cast("int"))
+
+
 QUERIES = {f.__name__: f for f in (op1_shards, op2_url_reputation, op3_cross_polytope, op4_sentencepiece, op5_decontaminate,
-                                   op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text, op11_secret_scan, op12_merkle)}
+                                   op6_simhash, op7_toxicity, op8_warc, op9_quality, op10_main_text, op11_secret_scan, op12_merkle, op13_lexical_search)}
 
 ORACLES = {"op2_url_reputation": oracles.url_reputation(RULES), "op5_decontaminate": oracles.DECONTAMINATE,
-           "op8_warc": oracles.WARC, "op10_main_text": oracles.MAIN_TEXT, "op12_merkle": oracles.merkle()}
+           "op8_warc": oracles.WARC, "op10_main_text": oracles.MAIN_TEXT, "op12_merkle": oracles.merkle(), "op13_lexical_search": oracles.LEXICAL}
