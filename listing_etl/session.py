@@ -22,6 +22,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HTML rows are wide: keep Arrow batches small for the page parser.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # and bound them by bytes: a task holds a batch in the JVM and in Python
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
