@@ -72,12 +72,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.KneserNey:
-    return toxicity.fit(toxicity.labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxic_held_out))
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.KneserNey:
+    """Fitted on the labelled rows of ``documents``, ready to score ``docs``."""
+    return toxicity.fit(toxicity.labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxic_held_out), docs)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
     return scored.select("doc_id", toxic_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

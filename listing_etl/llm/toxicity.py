@@ -14,12 +14,15 @@ of insults only does not set its own level. Of what is left only the part above
 counts; the sum per word of the text goes through a logistic curve to 0..1.
 
 Counting covers all labelled training documents. A word counts once per document (what one
-document repeats is one piece of evidence). Counts are kept by exact n-gram in Spark tables
-that grow with the corpus; no n-grams share a count. Scoring takes the distinct n-grams of the
-documents and joins them with the counts, order by order, to one value for each. Up to
-``BROADCAST_GRAMS`` n-grams (counted first) their values are sent to the tasks, beyond it they
-are summed to words and meet the documents by a shuffle. The curve is fitted on a fold of the training rows that counting leaves out, of which at most
-``calibration_rows`` are used, taken in the order of a hash.
+document repeats is one piece of evidence). Counts are kept by exact n-gram in one Spark table
+that grows with the corpus; no n-grams share a count. Scoring takes the distinct n-grams of the
+documents and joins them, of all orders at once, with the counts, to one value for each. Up to
+``BROADCAST_GRAMS`` n-grams (counted first; 16 bytes each) their values are sent to the tasks,
+beyond it they are summed to words and meet the documents by a shuffle. Values are whole numbers
+of a small unit, so that both ways give the same scores to the last bit. The curve is fitted on a
+fold of the training rows that counting leaves out, of which at most ``calibration_rows`` are
+used, taken in the order of a hash. Documents that are named when the model is fitted share its
+one set of values. Scores are written before they are returned, and what was sent is taken back.
 
 Edge cases: null texts and texts without letters are scored as having no evidence; rows without a label or with a null label are scored but not
 learned from; several labels of one id count as toxic if one is; if a class has no
@@ -30,8 +33,9 @@ table; other columns pass through ``keep_ordinary`` untouched under any names.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import partial
 
@@ -55,12 +59,12 @@ CALIBRATION_FOLD = 5
 CALIBRATION_ROWS = 20_000
 #: Labels (12 bytes each) up to which they are broadcast; beyond it they are shuffled.
 BROADCAST_LABELS = 2_000_000
-#: Distinct n-grams of the documents (16 bytes each) up to which their values are broadcast.
-BROADCAST_GRAMS = 4_000_000
-#: Distinct words whose value a Python worker remembers before it starts anew.
-CACHE_WORDS = 250_000
-#: Distinct words, and n-grams, that a task holds before it passes n-grams on.
-COUNT_WORDS, COUNT_GRAMS = 100_000, 500_000
+#: Distinct n-grams of the documents (16 bytes each) up to which their values are broadcast: 32 MB.
+BROADCAST_GRAMS = 2_000_000
+#: Bytes of the words whose value a Python worker remembers within a task before it starts anew.
+CACHE_BYTES = 32 << 20
+#: Bytes of distinct words, and number of n-grams, that a task holds before it passes n-grams on.
+COUNT_BYTES, COUNT_GRAMS = 16 << 20, 200_000
 THRESHOLD = 0.7
 
 _START, _END = chr(2), chr(3)    # control characters, which no word has
@@ -73,6 +77,11 @@ def split(text: str | None) -> list[str]:
     return words_of((text or "").lower())
 
 
+def held_bytes(words: Iterable[str]) -> int:
+    """About what words take as keys of a dictionary."""
+    return sum(sys.getsizeof(w) + 120 for w in words)
+
+
 def spelled(words: list[str]) -> tuple[dict[int, np.ndarray], list[int]]:
     """For each character to be foretold (the end of the word is one): the n-gram of the highest
     order that ends at it (by order), and the number of its word."""
@@ -81,6 +90,11 @@ def spelled(words: list[str]) -> tuple[dict[int, np.ndarray], list[int]]:
     return {ORDER: np.array(grams, dtype=object)}, [i for i, w in enumerate(words) for _ in range(len(w) + 1)]
 
 
+def _grams_of(word: str) -> Iterator[str]:
+    t = _START * (ORDER - 1) + word + _END
+    return (t[i:i + ORDER] for i in range(len(t) - ORDER + 1))
+
+
 def _grams(df: DataFrame) -> DataFrame:
     """Rows with a column ``word`` once for each n-gram (``gram``) of the highest order in it."""
     at, names = df.columns.index("word"), [*df.columns, "gram"]
@@ -109,42 +123,57 @@ def _points(text: str) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) rows to documents by n-gram and class; memory is bounded by passing on."""
     held: Counter = Counter()
+    size = 0
 
-    def passed() -> pa.RecordBatch:
+    def passed() -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for (w, toxic), n in held.items():
-            for g in spelled([w])[0][ORDER]:
+            for g in _grams_of(w):
                 sums.setdefault(g, [0, 0])[toxic] += n
+                if len(sums) > COUNT_GRAMS:
+                    yield batch(sums)
+                    sums.clear()
+        yield batch(sums)
+        held.clear()
+
+    def batch(sums: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([n[c] for n in sums.values()], pa.int64()) for c in (0, 1))],
                                           names=["gram", "c0", "c1"])
 
-    for b in slices(batches):
+    for b in slices(batches, 1 << 20):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.update([(w, toxic) for w in set(split(text))])
-            if len(held) > COUNT_WORDS:
-                yield passed()
-                held.clear()
+            words = set(split(text))
+            size += held_bytes(words)          # words that are held already count again: it flushes early, never late
+            held.update([(w, toxic) for w in words])
+            if size > 4 * COUNT_BYTES:
+                yield from passed()
+                size = 0
     if held:
-        yield passed()
+        yield from passed()
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) rows to the n-grams of their words, each once in a while."""
-    seen, held = set(), set()
+    seen, held, size = set(), set(), 0
 
     def passed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["gram"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["gram"])
+        held.clear()
+        return out
 
-    for b in slices(batches):
+    for b in slices(batches, 1 << 20):
         for text in b.column(0).to_pylist():
             new = set(split(text)) - seen
             seen |= new
-            held.update(spelled(list(new))[0][ORDER])
-            if len(seen) > COUNT_WORDS:
+            size += held_bytes(new)
+            for w in new:
+                for g in _grams_of(w):
+                    held.add(g)
+                    if len(held) > COUNT_GRAMS:
+                        yield passed()
+            if size > COUNT_BYTES:
                 seen.clear()
-            if len(held) > COUNT_GRAMS:
-                yield passed()
-                held.clear()
+                size = 0
     if held:
         yield passed()
 
@@ -158,43 +187,49 @@ def _discounted(count: Column, total: Column, kinds: Column, below: Column, stre
 
 @dataclass
 class KneserNey:
-    """Spelling models as tables of exact n-grams, by order: documents or shared counts of the
-    n-grams (``cell``, ``a``, ``b``), and of contexts (``cell``, ``a``, ``b``) the same and the
-    kinds of n-grams after them (``ka``, ``kb``, of both together ``k``)."""
+    """Spelling models as one table of exact strings (``cell``): documents or shared counts of the
+    n-gram that it is (``a``, ``b``), and, as a context of longer ones, the same (``ta``, ``tb``) and
+    the kinds of n-grams after it (``ka``, ``kb``, of both classes together ``k``)."""
 
-    counts: list[DataFrame]
-    contexts: list[DataFrame]
+    nodes: DataFrame | None
     slope: float = 1.0
     offset: float = 0.0
     constant: float | None = None
     level: float = 0.0
+    values: Values | None = None
 
     def differences(self, every: DataFrame) -> DataFrame:
         """``gram`` and ``value``, toxic less ordinary log-likelihood of the last character in
         whole ``_UNIT``s, of distinct n-grams of the highest order."""
+        ends = F.array(*(F.col("gram").substr(ORDER + 1 - k, k) for k in range(1, ORDER + 1)))
+        # a context has as many n-grams as there are characters, and so has an ending: no key is hot
+        g = every.select(F.explode(ends).alias("g")).distinct().withColumn("front", F.col("g").substr(F.lit(1), F.length("g") - 1))
+        own = self.nodes.where(F.col("a") + F.col("b") > 0).select(F.col("cell").alias("g"), "a", "b")
+        around = self.nodes.where(F.col("ta") + F.col("tb") > 0).select(F.col("cell").alias("front"), "ta", "tb", "ka", "kb", "k")
+        known = staged(g.join(own, "g", "left").join(around, "front", "left"), "needed")
         p = None
         for k in range(1, ORDER + 1):
-            # a context has as many n-grams as there are characters, and so has an ending
-            g = every.select(F.col("gram").substr(ORDER + 1 - k, k).alias("g")).distinct()
-            n, c = self.counts[k - 1].withColumnRenamed("cell", "g"), self.contexts[k - 1]
-            c = c.select(F.col("cell").alias("front"), F.col("a").alias("ta"), F.col("b").alias("tb"), "ka", "kb", "k")
-            g = g.withColumn("front", F.substring("g", 1, k - 1)).join(n, "g", "left").join(c, "front", "left")
+            part = known.where(F.length("g") == k)
             if p is None:
-                g = g.withColumn("below", F.lit(1 / 1024))      # a character that was never seen
+                part = part.withColumn("below", F.lit(1 / 1024))      # a character that was never seen
             else:
-                g = g.withColumn("short", F.substring("g", 2, k - 1)).join(p.select(F.col("g").alias("short"), F.col("p").alias("below")), "short")
+                part = part.withColumn("short", F.substring("g", 2, k - 1)).join(p.select(F.col("g").alias("short"), F.col("p").alias("below")), "short")
             both = (F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)) for x, y in (("a", "b"), ("ta", "tb")))
-            p = g.withColumn("p", _discounted(*both, F.col("k"), F.col("below")))
+            p = part.withColumn("p", _discounted(*both, F.col("k"), F.col("below")))
         toxic = _discounted(F.col("b"), F.col("tb"), F.col("kb"), F.col("p"), STRENGTH)
         ordinary = _discounted(F.col("a"), F.col("ta"), F.col("ka"), F.col("p"), STRENGTH)
         return p.select(F.col("g").alias("gram"), F.round((F.log(toxic) - F.log(ordinary)) * _UNIT).cast("long").alias("value"))
 
     def evidence(self, values: np.ndarray) -> float:
-        """What stands out as toxic, per word, in a text of these word values; 0 without words."""
-        return float(np.maximum(values - min(np.median(values), self.level) - MARGIN, 0).mean()) if len(values) else 0.0
+        """What stands out as toxic, per word, in a text of these word values (whole units, in any
+        order); 0 without words."""
+        if not len(values):
+            return 0.0
+        level = min(middle_of(values), round(self.level * _UNIT)) + round(MARGIN * _UNIT)
+        return int(np.maximum(values - level, 0).sum()) / len(values) / _UNIT
 
     def middle(self, values: np.ndarray) -> float:
-        return float(np.median(values)) if len(values) else 0.0
+        return middle_of(values) / _UNIT if len(values) else 0.0
 
     def probability(self, values: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.evidence(values) + self.offset, -50, 50))))
@@ -202,8 +237,19 @@ class KneserNey:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        df = self.counts[0].sparkSession.createDataFrame(list(enumerate(texts)), "id long, text string")
-        return np.array([r["score"] for r in sorted(_scored(df, self).collect())])
+        df = self.nodes.sparkSession.createDataFrame(list(enumerate(texts)), "id long, text string")
+        values = Values.of(self, [df])
+        try:
+            return np.array([r["score"] for r in sorted(values.scored(df, self).collect())])
+        finally:
+            values.close()
+
+
+def middle_of(values: np.ndarray) -> int:
+    """The median, rounded down to a whole unit."""
+    n = len(values)
+    two = np.partition(values, [(n - 1) // 2, n // 2])
+    return (int(two[(n - 1) // 2]) + int(two[n // 2])) // 2
 
 
 def model_cells(train: DataFrame) -> DataFrame:
@@ -213,52 +259,52 @@ def model_cells(train: DataFrame) -> DataFrame:
     different characters in front."""
     rows = train.select("text", "toxic").mapInArrow(_count, "gram string, c0 long, c1 long")
     grams = staged(rows.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "model-grams")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    ends = F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").substr(ORDER + 1 - k, k).alias("g"), "c0", "c1") for k in range(1, ORDER + 1)))
+    every = grams.select(F.explode(ends).alias("x")).groupBy("x.k", "x.g").agg(F.sum("x.c0").alias("c0"), F.sum("x.c1").alias("c1"))
+    k, g, one, zero = F.col("k"), F.col("g"), F.lit(1).cast("long"), F.lit(0).cast("long")
+    some = lambda c: (F.col(c) > 0).cast("long")
 
     def row(kind, order, cell, a, b):
-        return F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("k"), cell.alias("cell"), a.alias("a"), b.alias("b"))
+        return F.struct(F.lit(kind).alias("kind"), order.alias("k"), cell.alias("cell"), a.alias("a"), b.alias("b"))
 
-    some = lambda c: (F.col(c) > 0).cast("long")
-    made = None
-    for k in range(1, ORDER + 1):
-        g, front = F.col("gram"), F.substring("gram", 1, k - 1)
-        below = [row(0, k - 1, F.substring("gram", 2, k - 1), one, zero), row(1, k - 1, F.substring("gram", 2, k - 2), one, zero)] if k > 1 else []
-        if k < ORDER:
-            part = grams.select(F.col("gram").substr(ORDER + 1 - k, k).alias("gram")).distinct()
-            kinds = [row(2, k, front, one, zero)]
-        else:
-            part = grams
-            kinds = [row(0, k, g, F.col("c0"), F.col("c1")), row(1, k, front, F.col("c0"), F.col("c1")), row(2, k, front, some("c0"), some("c1")), row(3, k, front, one, zero)]
-        part = part.select(F.explode(F.array(*kinds, *below)).alias("r"))
-        made = part if made is None else made.union(part)
+    front, back, inner = g.substr(F.lit(1), k - 1), g.substr(F.lit(2), k - 1), g.substr(F.lit(2), k - 2)
+    top = F.array(row(0, k, g, F.col("c0"), F.col("c1")), row(1, k, front, F.col("c0"), F.col("c1")), row(2, k, front, some("c0"), some("c1")), row(3, k, front, one, zero))
+    kinds = F.when(k == ORDER, top).otherwise(F.array(row(2, k, front, one, zero)))
+    below = F.when(k > 1, F.array(row(0, k - 1, back, one, zero), row(1, k - 1, inner, one, zero))).otherwise(F.slice(top, 1, 0))
+    made = every.select(F.explode(F.concat(kinds, below)).alias("r"))
     return made.groupBy("r.kind", "r.k", "r.cell").agg(F.sum("r.a").alias("a"), F.sum("r.b").alias("b"))
 
 
-def fit(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> KneserNey:
-    """Models and curve from rows (id, text, toxic), toxic 0 or 1."""
+def nodes_of(cells: DataFrame) -> DataFrame:
+    """``model_cells`` gathered by string, for ``KneserNey``."""
+    is_ = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
+    # the string of a context is one shorter than its order
+    highest = F.length("cell") == ORDER - 1
+    return cells.groupBy("cell").agg(is_(0, "a").alias("a"), is_(0, "b").alias("b"), is_(1, "a").alias("ta"), is_(1, "b").alias("tb"), is_(2, "a").alias("ka"),
+                                     is_(2, "b").alias("kb"), F.when(highest, is_(3, "a")).otherwise(is_(2, "a")).alias("k"))
+
+
+def fit(train: DataFrame, also: DataFrame | None = None, text: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> KneserNey:
+    """Models and curve from rows (id, text, toxic), toxic 0 or 1. ``also``: documents (with their
+    column ``text``) that will be scored, whose n-grams are valued together with the curve's."""
     prepare(train.sparkSession)
     fold = F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(CALIBRATION_FOLD))
-    cells = staged(model_cells(train.where(fold != 0)), "model-cells")
-    is_ = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
-    around = staged(cells.where("kind > 0").groupBy("k", "cell").agg(
-        is_(1, "a").alias("a"), is_(1, "b").alias("b"), is_(2, "a").alias("ka"), is_(2, "b").alias("kb"),
-        F.when(F.col("k") < ORDER, is_(2, "a")).otherwise(is_(3, "a")).alias("kinds")), "model-contexts")
-    orders = range(1, ORDER + 1)
-    model = KneserNey([cells.where((F.col("kind") == 0) & (F.col("k") == k)).select("cell", "a", "b") for k in orders],
-                      [around.where(F.col("k") == k).select("cell", "a", "b", "ka", "kb", F.col("kinds").alias("k")) for k in orders])
-    seen = model.counts[-1].agg(F.sum("a"), F.sum("b")).first()
+    model = KneserNey(staged(nodes_of(model_cells(train.where(fold != 0))), "model-nodes"))
+    seen = model.nodes.where(F.length("cell") == ORDER).agg(F.sum("a"), F.sum("b")).first()
     if not (seen[0] and seen[1]):
         model.constant = float(bool(seen[1]))
         return model
     # the sample is chosen by ids alone; its texts stay where they are
     ids = train.where(fold == 0).select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
     curve = staged(train.where(fold == 0).join(F.broadcast(ids), "id", "left_semi").select("id", "text", "toxic"), "curve")
-    values = _values(curve, model)
-    middle = _scored(curve, model, KneserNey.middle, values).where("toxic = 0").select("score").toPandas()["score"]
-    model.level = float(middle.quantile(LEVEL_SHARE)) if len(middle) else 0.0
-    sample = _scored(curve, model, KneserNey.evidence, values).select("score", "toxic").toPandas()
-    sample = sample.sort_values(["score", "toxic"])
-    model.slope, model.offset = _curve(sample["score"].to_numpy(), sample["toxic"].to_numpy(dtype=np.float64))
+    texts = [curve] + ([also.select(F.col(text).cast("string").alias("text"))] if also is not None else [])
+    model.values = Values.of(model, texts, also)
+    middle = model.values.scored(curve, model, KneserNey.middle).where("toxic = 0").select("score").toArrow()["score"].to_numpy()
+    model.level = float(np.quantile(middle, LEVEL_SHARE)) if len(middle) else 0.0
+    sample = model.values.scored(curve, model, KneserNey.evidence).select("score", "toxic").toArrow()
+    x, y = sample["score"].to_numpy(), sample["toxic"].to_numpy().astype(np.float64)
+    order = np.lexsort((y, x))
+    model.slope, model.offset = _curve(x[order], y[order])
     return model
 
 
@@ -291,70 +337,129 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Lexicon:
-    """Values of n-grams by hash, and of the words that were asked for lately."""
+    """Values of n-grams by hash, and of the words that a task has met lately."""
 
     hashes: np.ndarray
     values: np.ndarray
     known: dict = field(default_factory=dict)
+    held: int = 0
 
     def __getstate__(self):
         return self.hashes, self.values
 
     def __setstate__(self, state):
-        self.hashes, self.values, self.known = *state, {}
+        self.hashes, self.values = state
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
+    def _values_at(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), dtype=np.int64)
+        for i in range(0, len(at), 1 << 18):
+            h = _hashed(points, at[i:i + (1 << 18)])
+            where = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            if (self.hashes[where] != h).any():
+                raise ValueError("the documents changed while they were scored")
+            out[i:i + (1 << 18)] = self.values[where]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        part, size = [], 0
+        for w in [*words, None]:
+            if part and (w is None or size + len(w) > 1 << 19):
+                start = _START * (ORDER - 1)
+                points = _points(start + (_END + start).join(part) + _END)
+                each = self._values_at(points, np.flatnonzero(points != ord(_START)))
+                first = np.r_[0, np.cumsum([len(x) + 1 for x in part])[:-1]]
+                self.known.update(zip(part, np.add.reduceat(each, first).tolist()))
+                part, size = [], 0
+            if w is not None:
+                part.append(w)
+                size += len(w)
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The values of each text's words."""
         words = [split(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         new = [w for w in dict.fromkeys(w for s in words for w in s) if w not in self.known]
-        for i in range(0, len(new), 50_000):
-            part = new[i:i + 50_000]
-            start = _START * (ORDER - 1)
-            points = _points(start + (_END + start).join(part) + _END)
-            h = _hashed(points, np.flatnonzero(points != ord(_START)))
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            if (self.hashes[at] != h).any():
-                raise ValueError("the documents changed while they were scored")
-            first = np.r_[0, np.cumsum([len(w) + 1 for w in part])[:-1]]
-            self.known.update(zip(part, (np.add.reduceat(self.values[at], first) / _UNIT).tolist()))
+        self.held += held_bytes(new)
+        self._learn(new)
         for s in words:
-            yield np.fromiter(map(self.known.__getitem__, s), dtype=np.float64, count=len(s))
-
+            yield np.fromiter(map(self.known.__getitem__, s), dtype=np.int64, count=len(s))
 
-def _lexicon(values: DataFrame) -> Lexicon:
-    got = values.toArrow()
-    points = _points("".join(got["gram"].to_pylist()))
-    h = _hashed(points, np.arange(ORDER - 1, len(points), ORDER))
-    order = np.argsort(h)
-    return Lexicon(h[order], got["value"].to_numpy()[order])
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, value) rows to (hash, value) rows."""
+    for b in batches:
+        points = _points("".join(b.column(0).to_pylist()))
+        h = _hashed(points, np.arange(ORDER - 1, len(points), ORDER))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], names=["h", "value"])
 
-def _values(df: DataFrame, model: KneserNey) -> DataFrame:
-    """Values of the n-grams of the texts."""
-    grams = staged(df.select("text").mapInArrow(_distinct, "gram string").distinct(), "grams")
-    return staged(model.differences(grams), "values")
 
-
-def _scored(df: DataFrame, model: KneserNey, by=KneserNey.probability, values: DataFrame | None = None) -> DataFrame:
-    """Rows (id, text, ...) with a column score in place of the text."""
-    spark, at, rest = df.sparkSession, df.columns.index("text"), [c for c in df.columns if c != "text"]
+@dataclass
+class Values:
+    """Values of the distinct n-grams of some texts as a table, and as it is sent to the tasks."""
+
+    table: DataFrame
+    small: bool
+    of_docs: DataFrame | None = None
+    shared: object = None
+
+    @classmethod
+    def of(cls, model: KneserNey, texts: list[DataFrame], docs: DataFrame | None = None) -> Values:
+        every = texts[0].select("text")
+        for t in texts[1:]:
+            every = every.union(t.select("text"))
+        grams = staged(every.mapInArrow(_distinct, "gram string").distinct(), "grams")
+        table = staged(model.differences(grams), "values")
+        return cls(table, table.count() <= BROADCAST_GRAMS, docs)
+
+    def _send(self) -> None:
+        if self.shared is None:
+            got = self.table.mapInArrow(_hashes, "h long, value long").toArrow()
+            h, value = got["h"].to_numpy().view(np.uint64), got["value"].to_numpy()
+            order = np.argsort(h)
+            self.shared = self.table.sparkSession.sparkContext.broadcast(Lexicon(h[order], value[order]))
+
+    def close(self) -> None:
+        """Take back what was sent; results that are not written yet cannot be read any more."""
+        if self.shared is not None:
+            self.shared.destroy()
+            self.shared = None
+
+    def scored(self, df: DataFrame, model: KneserNey, by=KneserNey.probability) -> DataFrame:
+        """Rows (id, text, ...) with a column score in place of the text."""
+        # the tables stay behind: a task needs the numbers only
+        judge = partial(by, replace(model, nodes=None, values=None))
+        if not self.small:
+            return _scored_by_shuffle(df, self.table, judge)
+        self._send()
+        at, rest, shared = df.columns.index("text"), [c for c in df.columns if c != "text"], self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon = shared.value
+            for b in slices(batches, 1 << 20):
+                s = [judge(v) for v in lexicon.texts(b.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(s, pa.float64())], names=[*rest, "score"])
+            lexicon.forget()
+
+        return df.mapInArrow(run, append_columns(df.select(*rest), "score double"))
+
+
+def _scored(df: DataFrame, docs: DataFrame, model: KneserNey, keep=None) -> DataFrame:
+    """Rows (id, ..., score) of (id, text, ...), written; ``docs``: the table that they are of."""
+    rest = [c for c in df.columns if c != "text"]
     if model.constant is not None:
-        return df.select(*rest, F.lit(model.constant).alias("score"))
-    values = _values(df, model) if values is None else values
-    # the tables stay behind: a task needs the numbers only
-    judge = partial(by, replace(model, counts=[], contexts=[]))
-    if values.count() > BROADCAST_GRAMS:
-        return _scored_by_shuffle(df, values, judge)
-    shared = spark.sparkContext.broadcast(_lexicon(values))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            s = [judge(v) for v in shared.value.texts(b.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(s, pa.float64())], names=[*rest, "score"])
-
-    return df.mapInArrow(run, append_columns(df.select(*rest), "score double"))
+        out = df.select(*rest, F.lit(model.constant).alias("score"))
+        return out if keep is None else out.where(keep)
+    named = model.values is not None and model.values.of_docs is docs
+    values = model.values if named else Values.of(model, [df])
+    out = values.scored(df, model)
+    out = staged(out if keep is None else out.where(keep), "scores")
+    values.close()
+    return out
 
 
 def _scored_by_shuffle(df: DataFrame, values: DataFrame, judge) -> DataFrame:
@@ -369,17 +474,17 @@ def _scored_by_shuffle(df: DataFrame, values: DataFrame, judge) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            s = [judge(np.repeat([x["value"] for x in v], [x["n"] for x in v])) for v in b.column(1).to_pylist()]
+            s = [judge(np.repeat(np.array([x["value"] for x in v], dtype=np.int64), [x["n"] for x in v])) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["digest", "score"])
 
     each = df.select(digest.alias("digest"), "text").mapInArrow(words, "digest string, word string, n long").distinct()
     each = staged(each, "text-words")
-    lexicon = _grams(each.select("word").distinct()).join(values, "gram").groupBy("word").agg((F.sum("value") / _UNIT).alias("value"))
+    lexicon = _grams(each.select("word").distinct()).join(values, "gram").groupBy("word").agg(F.sum("value").alias("value"))
     texts = each.join(lexicon, "word").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("values"))
     scores = staged(texts.mapInArrow(judged, "digest string, score double"), "scores")
     rest = [F.col(f"row.{c}").alias(c) for c in df.columns if c != "text"]
     rows = df.select(F.struct(*(c for c in df.columns if c != "text")).alias("row"), digest.alias("digest"))
-    return rows.join(scores, "digest", "left").select(*rest, F.coalesce("score", F.lit(judge(np.zeros(0)))).alias("score"))
+    return rows.join(scores, "digest", "left").select(*rest, F.coalesce("score", F.lit(judge(np.zeros(0, dtype=np.int64)))).alias("score"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -393,12 +498,12 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id",
 def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of every row."""
     prepare(docs.sparkSession)
-    scored = _scored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), model)
-    return scored.select(F.col("id").alias(key), "score")
+    narrow = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    return _scored(narrow, docs, model).select(F.col("id").alias(key), "score")
 
 
 def keep_ordinary(docs: DataFrame, model: KneserNey, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     prepare(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("id"), F.col(text).cast("string").alias("text"))
-    return _scored(packed, model).where(F.col("score") < threshold).select("id.*")
+    return _scored(packed, docs, model, F.col("score") < threshold).select("id.*")
