@@ -17,7 +17,7 @@ from listing_etl.llm.common import prepare, staged, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
-    return toxicity.keep_ordinary(docs, queries.toxicity_model(spark, sf_dir))
+    return toxicity.keep_ordinary(docs, queries.toxicity_model(spark, sf_dir, docs))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
