@@ -112,13 +112,6 @@ def parse_money(x) -> Column:
             .otherwise(money_digits(t).try_cast("double")))
 
 
-def money_failed(x) -> Column:
-    """True where ``parse_money`` could not convert present text."""
-    return parse_money(x).isNull()
-
-
-# ------------------------------------------------------------------------- derived
-
 def used_condition(x, variant: str = "details") -> Column:
     """SCL4: text between the first and second '-', stripped.
 

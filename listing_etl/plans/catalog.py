@@ -129,84 +129,114 @@ QUERIES.update({
 
 # -------------------------------------------------------------- product flow
 
-#: Staged parses by folder (``stage_parsed``), which the views read if there is one.
-STAGED: dict[str, DataFrame] = {}
-
-
 def stage_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parse all product pages once, as a production batch does, for every view of ``sf_dir``."""
+    """Parse all product pages once, as a production batch does; the views take it as ``parsed``."""
     from listing_etl.sources import sinks as K
-    STAGED[sf_dir] = K.stage(spark, _parsed(spark, sf_dir), "parsed")
-    return STAGED[sf_dir]
+    return K.stage(spark, _parsed(spark, sf_dir), "parsed")
 
 
-def _parsed(spark: SparkSession, sf_dir: str, *without: str) -> DataFrame:
+def _parsed(spark: SparkSession, sf_dir: str, *without: str, parsed: DataFrame | None = None) -> DataFrame:
     """Parsed pages, without optional columns that the view does not show."""
     from listing_etl.plans import products as PR
-    if sf_dir in STAGED:
-        return STAGED[sf_dir].drop(*without)
+    if parsed is not None:
+        return parsed.drop(*without)
     return PR.parse_products(T.product_pages(spark, sf_dir), keys=["request_id", "scrape_seq"], without=without)
 
 
-def product_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_details(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """FLD1-FLD9, SCL1-SCL6, EXP4, SNK1 (V1 details row)."""
     from listing_etl.plans import products as PR
-    return PR.details(_parsed(spark, sf_dir, "images", "seller", "reviews"), ["request_id"])
+    return PR.details(_parsed(spark, sf_dir, "images", "seller", "reviews", parsed=parsed), ["request_id"])
 
 
-def products_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products_wide(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """FLD1-FLD9, SCL4 (V2 rule), SCL7, EXP4, SNK5 (V2 wide row)."""
     from listing_etl.plans import products as PR
-    return PR.wide(_parsed(spark, sf_dir, "reviews"), ["request_id"])
+    return PR.wide(_parsed(spark, sf_dir, "reviews", parsed=parsed), ["request_id"])
 
 
-def product_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_images(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """FLD6, PAGE6, EXP1, SNK2."""
     from listing_etl.plans import products as PR
-    return PR.images(_parsed(spark, sf_dir, "seller", "reviews"), ["request_id"])
+    return PR.images(_parsed(spark, sf_dir, "seller", "reviews", parsed=parsed), ["request_id"])
 
 
-def reviews_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviews_rows(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """FLD10, PAGE7, EXP2, SNK3."""
     from listing_etl.plans import products as PR
-    return PR.reviews(_parsed(spark, sf_dir, "images", "seller"), ["request_id"])
+    return PR.reviews(_parsed(spark, sf_dir, "images", "seller", parsed=parsed), ["request_id"])
 
 
-def offers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offers_rows(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """FLD11, EXP3, SNK4 (V1 offers)."""
     from listing_etl.plans import products as PR
-    return PR.offers(_parsed(spark, sf_dir, "images", "seller", "reviews"), ["request_id"], "details")
+    return PR.offers(_parsed(spark, sf_dir, "images", "seller", "reviews", parsed=parsed), ["request_id"], "details")
 
 
-def offers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offers_wide(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """FLD12 (V2 offers: name, price text, condition, shipping)."""
     from listing_etl.plans import products as PR
-    return PR.offers(_parsed(spark, sf_dir, "images", "seller", "reviews"), ["request_id"], "wide")
+    return PR.offers(_parsed(spark, sf_dir, "images", "seller", "reviews", parsed=parsed), ["request_id"], "wide")
 
 
-def product_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_rejects(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
     """REJ for the page stage: one row per (request, code)."""
     from listing_etl.plans import products as PR
-    return PR.rejects(_parsed(spark, sf_dir, "images", "seller", "reviews"))
+    return PR.rejects(_parsed(spark, sf_dir, "images", "seller", "reviews", parsed=parsed))
 
 
-def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RPT2, JN3, SRC1, SRC2: requests by outcome (first fatal code, else ok); a request whose
-    page never landed counts as a failed page."""
+def request_status(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
+    """RPT2, JN3, SRC1, SRC2: requests by outcome (first fatal code, else ok), from requests and
+    rejects; a request without a good page at its time counts as a failed page."""
     from listing_etl.plans import pipeline as PL
     from listing_etl.plans import products as PR
     from listing_etl.plans import report as RP
-    found = PL.landed(_landed(spark, T.product_requests(spark, sf_dir), RD.requests),
-                      _landed(spark, T.landed_product_pages(spark, sf_dir), RD.pages))
-    return RP.request_status(PR.parse_products(found, keys=["request_id"], without=PR.OPTIONAL), "details")
+    requests = _landed(spark, T.product_requests(spark, sf_dir), RD.requests)
+    found = PL.current_pages(requests, T.landed_product_pages(spark, sf_dir))
+    lost = found.where(F.col("page_seq").isNull()).select("request_id", F.lit("page").alias("stage"), F.lit("PAGE_HTTP_FAILED").alias("code"),
+                                                          F.lit(None).cast("string").alias("detail"))
+    rejects = PR.rejects(_parsed(spark, sf_dir, *PR.OPTIONAL, parsed=parsed))
+    return RP.request_status(requests, rejects.union(lost), "details")
+
+
+def request_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HIS11: series length and history outcome of each product request, resolved or not."""
+    from listing_etl.plans import prices as PX
+    return PX.request_history(T.product_requests(spark, sf_dir), T.product_id_lookup(spark, sf_dir), T.history_pages(spark, sf_dir, clean=True))
 
 
-def product_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RPT1, SCL9, SCL10, AGG1-AGG3 with the rating scorer."""
+def product_report(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
+    """RPT1, SCL9, SCL10, AGG1-AGG3 with the rating scorer, JN5, HIS11: both branches of a request."""
+    from listing_etl.plans import prices as PX
+    from listing_etl.plans import products as PR
     from listing_etl.plans import report as RP
-    return RP.product_report(_parsed(spark, sf_dir), ["request_id"])
+    parsed = _parsed(spark, sf_dir, parsed=parsed)
+    rows = PR.details(parsed, ["request_id", "scrape_seq"]).select("request_id", "scrape_seq", "title", "price")
+    none = spark.createDataFrame([], "title string, price string, scrape_seq bigint")
+    return RP.product_report(parsed, ["request_id"], previous=PX.previous_prices(rows, none, tie="request_id"), history=request_history(spark, sf_dir))
+
+
+def product_details_strict(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
+    """REJ, strict: details of the requests whose price history did not fail in any way."""
+    from listing_etl.plans import products as PR
+    return PR.without_failed_history(product_details(spark, sf_dir, parsed), request_history(spark, sf_dir))
 
 
+def current_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN3: the page that was current for each request, over urls that are fetched many times."""
+    from listing_etl.plans import pipeline as PL
+    found = PL.current_pages(T.revisiting_requests(spark, sf_dir), T.revisited_pages(spark, sf_dir))
+    return found.select("request_id", "url", "scrape_seq", "page_seq")
+
+
+def parent_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN6: every stored product with every stored offer of its title, one title hot."""
+    return R.join_children(T.title_parents(spark, sf_dir), T.title_children(spark, sf_dir), "title", "product_title").drop("product_title")
+
+
+#: Queries that can read a staged parse.
+VIEWS = ("product_details", "products_wide", "product_images", "reviews_rows", "offers_rows", "offers_wide", "product_rejects", "request_status",
+         "product_report", "product_details_strict")
 QUERIES.update({
     "product_details": product_details,
     "products_wide": products_wide,
@@ -217,6 +247,10 @@ QUERIES.update({
     "product_rejects": product_rejects,
     "request_status": request_status,
     "product_report": product_report,
+    "product_details_strict": product_details_strict,
+    "request_history": request_history,
+    "current_page": current_page,
+    "parent_children": parent_children,
 })
 FLAGSHIP = product_report
 
@@ -270,6 +304,26 @@ def stored_previous_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "title", "previous_price", "code")
 
 
+def latest_stored_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5, SNK6: previous prices of a later batch from the latest price of each title that two
+    committed batches have stored."""
+    from listing_etl.plans import prices as PX
+    from listing_etl.plans import state as ST
+    from listing_etl.session import scratch_path
+    from listing_etl.sources.ledger import Ledger
+    ledger = Ledger(spark, scratch_path(spark, "stored"))
+    stored = T.stored_products(spark, sf_dir)
+    for name, rows in (("load-1", stored.where(F.col("scrape_seq") % 4 == 0)), ("load-2", stored.where(F.col("scrape_seq") % 4 != 0))):
+        attempt, _ = ledger.begin(name)
+        ledger.write(rows, "products", name, attempt)
+        ledger.write(ST.latest(rows), ST.TABLE, name, attempt)
+        ledger.commit(name, attempt)
+    _, seen = ledger.begin("load-3")
+    batch = T.new_batch(spark, sf_dir).withColumn("scrape_seq", F.col("scrape_seq") + 1_000_000_000)
+    r = PX.previous_prices(batch, ST.before(ledger, seen, batch))
+    return r.select("request_id", "title", "exists", "previous_price", "code")
+
+
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL1, SCL2 over whole review texts."""
     d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -286,6 +340,7 @@ def condition_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES.update({
     "product_exists": product_exists,
     "stored_previous_price": stored_previous_price,
+    "latest_stored_price": latest_stored_price,
     "text_normalize": text_normalize,
     "condition_split": condition_split,
 })

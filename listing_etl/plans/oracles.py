@@ -16,18 +16,9 @@ def ustrip(e: str) -> str:
 
 
 def rnd2(e: str) -> str:
-    """Python round(x, 2) (exact half-even) as DuckDB double arithmetic."""
+    """Python round(x, 2): printf rounds the exact binary value, ties to even, too."""
     x = f"CAST({e} AS DOUBLE)"
-    p = f"({x} * 100.0)"
-    c = f"({x} * 134217729.0)"
-    hi = f"({c} - ({c} - {x}))"
-    lo = f"({x} - {hi})"
-    err = f"(({hi} * 100.0 - {p}) + {lo} * 100.0)"
-    f = f"floor({p})"
-    d = f"((({p} - {f}) - 0.5) + {err})"
-    n = (f"(CASE WHEN {d} > 0 THEN {f} + 1 WHEN {d} < 0 THEN {f} "
-         f"WHEN {f} - 2 * floor({f} / 2) = 0 THEN {f} ELSE {f} + 1 END)")
-    return f"(CASE WHEN isnan({x}) OR abs({x}) >= 1e15 THEN {x} ELSE {n} / 100.0 END)"
+    return f"(CASE WHEN isnan({x}) OR abs({x}) >= 1e15 THEN {x} ELSE CAST(printf('%.2f', {x}) AS DOUBLE) END)"
 
 
 SHOP = "https://shop.example.com/"
@@ -85,9 +76,9 @@ FROM x
 
 # History pages: user and month; page k = user_id + chunk.
 _HIST_EVENTS = """
-  SELECT printf('P%d-%d', user_id, ((year(ts) - 2000) * 12 + month(ts))) AS internal_pid, user_id, ((year(ts) - 2000) * 12 + month(ts)) AS chunk,
+  SELECT printf('P%d-%d', user_id, (event_id // 1000000 * 1000 + (year(ts) - 2000) * 12 + month(ts))) AS internal_pid, user_id, (event_id // 1000000 * 1000 + (year(ts) - 2000) * 12 + month(ts)) AS chunk,
          event_id, ts, value,
-         (row_number() OVER (PARTITION BY user_id, ((year(ts) - 2000) * 12 + month(ts)) ORDER BY event_id) - 1)::INTEGER AS pos
+         (row_number() OVER (PARTITION BY user_id, (event_id // 1000000 * 1000 + (year(ts) - 2000) * 12 + month(ts)) ORDER BY event_id) - 1)::INTEGER AS pos
   FROM events
 """
 _PAGE_OK = "((user_id + chunk) % 13 <> 0 AND (user_id + chunk) % 11 <> 0 AND (user_id + chunk) % 7 <> 0)"
@@ -343,8 +334,27 @@ SELECT status, count(*) AS n FROM (
 GROUP BY status
 """
 
+_REQUEST_HISTORY = f"""
+he AS ({_HIST_EVENTS}),
+hp AS (
+  SELECT internal_pid, user_id, chunk, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0) AS good,
+         count(*) FILTER (WHERE user_id % 2 = 0 AND event_id % 10 <> 0 AND (event_id % 17 = 0 OR event_id % 19 = 0)) AS bad,
+         CASE WHEN (user_id + chunk) % 13 = 0 THEN 'HISTORY_HTTP_FAILED' WHEN (user_id + chunk) % 11 = 0 THEN 'HISTORY_SCRIPT_MISSING'
+              WHEN (user_id + chunk) % 7 = 0 THEN 'HISTORY_PAYLOAD_MISSING' END AS page_code
+  FROM he GROUP BY internal_pid, user_id, chunk
+),
+hl AS (SELECT p_partkey, max_by(internal_pid, chunk) AS internal_pid FROM part JOIN hp ON p_partkey % 200 = user_id GROUP BY p_partkey),
+h AS (
+  SELECT request_id, CASE WHEN pk % 23 <> 0 THEN hl.internal_pid END AS internal_pid,
+         CASE WHEN hl.internal_pid IS NULL OR pk % 23 = 0 OR page_code IS NOT NULL THEN 0 ELSE good END AS series_length,
+         CASE WHEN hl.internal_pid IS NULL THEN 'LOOKUP_HTTP_FAILED' WHEN pk % 23 = 0 THEN 'LOOKUP_KEY_MISSING' ELSE page_code END AS history_code,
+         hl.internal_pid IS NULL OR pk % 23 = 0 OR page_code IS NOT NULL OR bad > 0 AS history_failed
+  FROM s0 LEFT JOIN hl ON hl.p_partkey = pk LEFT JOIN hp USING (internal_pid)
+)
+"""
+
 PRODUCT_REPORT = f"""
-WITH {_SCRAPES}, {_REVIEWS},
+WITH {_SCRAPES}, {_REVIEWS}, {_REQUEST_HISTORY},
 g AS (
   SELECT p.request_id, count(*) AS n, count(*) FILTER (WHERE rv.positive) AS positive,
          string_agg(concat_ws(' | ', review_title, review_rating, review_author, review_date, review_text), chr(10) ORDER BY pos) AS reviews_text
@@ -363,8 +373,37 @@ SELECT request_id, title, printf('%.2f', price) AS price_text, printf('%.2f', us
        reviews_count, availability, description, seller, coalesce(reviews_text, '') AS reviews_text,
        CASE WHEN has_offer THEN concat_ws(' | ', CASE WHEN sk % 7 = 0 THEN 'NA' ELSE s_name END, printf('%.2f', CAST(offer // 100 AS DOUBLE)))
             ELSE '' END AS offers_text,
-       CASE WHEN has_offer THEN 1 ELSE 0 END AS n_offers, CAST(ln - (CASE WHEN ln >= 2 THEN 1 ELSE 0 END) AS INTEGER) AS n_images
-FROM r
+       CASE WHEN has_offer THEN 1 ELSE 0 END AS n_offers, CAST(ln - (CASE WHEN ln >= 2 THEN 1 ELSE 0 END) AS INTEGER) AS n_images,
+       title <> 'NA' AND nth > 1 AS seen_before, CASE WHEN title <> 'NA' THEN before END AS previous_price, NULL AS previous_code,
+       series_length, history_code
+FROM (SELECT *, row_number() OVER t AS nth, lag(price) OVER t AS before FROM r WINDOW t AS (PARTITION BY title ORDER BY scrape_seq, request_id)) JOIN h USING (request_id)
+"""
+
+PRODUCT_DETAILS_STRICT = f"""
+WITH {_SCRAPES}, {_REQUEST_HISTORY}
+SELECT request_id, title, price, reviews_count, availability, description, discount, used_price, used_condition
+FROM p JOIN h USING (request_id) WHERE ok AND NOT history_failed
+"""
+
+REQUEST_HISTORY = f"WITH {_SCRAPES}, {_REQUEST_HISTORY} SELECT * FROM h"
+
+CURRENT_PAGE = f"""
+WITH q AS (SELECT *, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
+pg AS (SELECT DISTINCT l_partkey, seq AS page_seq FROM q WHERE seq % 5 <> 0),
+rq AS (
+  SELECT printf('%d-%d-%d-%d', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id, l_partkey,
+         CASE WHEN seq % 97 <> 0 THEN '{SHOP}dp/B' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') END AS url,
+         CASE WHEN seq % 31 = 0 THEN 0 ELSE seq + l_suppkey * 7 % 2000 END AS scrape_seq
+  FROM q
+)
+SELECT request_id, url, scrape_seq, CASE WHEN url IS NOT NULL THEN page_seq END AS page_seq
+FROM rq ASOF LEFT JOIN pg ON rq.l_partkey = pg.l_partkey AND rq.scrape_seq >= pg.page_seq
+"""
+
+PARENT_CHILDREN = """
+WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'hot item' ELSE concat_ws(' ', p_name, p_brand) END AS title FROM part),
+o AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+SELECT a.p_partkey, a.title, o.l_partkey, o.l_suppkey FROM t a JOIN t b ON a.title = b.title JOIN o ON o.l_partkey = b.p_partkey
 """
 
 ORACLES.update({
@@ -384,11 +423,11 @@ ORACLES.update({
 HISTORY_PREFIX = "https://history.example.com/price-history-"
 _SERIES = """
 series AS (
-  SELECT DISTINCT user_id, ((year(ts) - 2000) * 12 + month(ts)) AS chunk FROM events
+  SELECT DISTINCT user_id, (event_id // 1000000 * 1000 + (year(ts) - 2000) * 12 + month(ts)) AS chunk FROM events
 ),
 rq AS (
   SELECT printf('P%d-%d', user_id, chunk) AS request_id, user_id, chunk,
-         'B' || lpad(CAST(user_id * 1000 + chunk AS VARCHAR), 9, '0') AS k,
+         'B' || lpad(CAST(chunk // 1000 * 10000000 + user_id * 1000 + chunk % 1000 AS VARCHAR), 9, '0') AS k,
          (user_id + chunk * 3) % 17 = 0 AS invalid, (user_id * 7 + chunk) AS lk
   FROM series
 ),
@@ -541,3 +580,11 @@ JSON_PATH = """
 SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
 """
 ORACLES.update({"review_score": REVIEW_SCORE, "review_return_rate": REVIEW_RETURN_RATE, "json_path": JSON_PATH})
+ORACLES.update({"product_details_strict": PRODUCT_DETAILS_STRICT, "request_history": REQUEST_HISTORY, "current_page": CURRENT_PAGE, "parent_children": PARENT_CHILDREN})
+
+LATEST_STORED_PRICE = f"""
+WITH {_STORED.replace("SELECT p_partkey AS request_id, concat_ws(' ', p_name, p_brand) AS title, p_partkey AS seq,",
+                      "SELECT p_partkey AS request_id, concat_ws(' ', p_name, p_brand) AS title, p_partkey + 1000000000 AS seq,")}
+SELECT request_id, title, seen AS "exists", previous_price, CASE WHEN seen AND previous_price IS NULL THEN 'PREVIOUS_PRICE_DATA_ERROR' END AS code FROM pp
+"""
+ORACLES.update({"latest_stored_price": LATEST_STORED_PRICE})

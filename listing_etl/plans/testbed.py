@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # Fixed values of the derivation (shared with the SQL oracles).
 REVIEWS_PER_PAGE = 3        # documents 3k..3k+2 are reviews of order k's first line
 SHOP = "https://shop.example.com/"
+EVENT_BLOCK = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +30,19 @@ def _asin_of(n: Column) -> Column:
 
 # ------------------------------------------------------------------ V1 history branch
 
-def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One history page per user and month: the packed payload of all of its events.
+def history_series(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
+    """One history page per user, month and ``EVENT_BLOCK`` event ids: the packed payload of all of
+    its events, so that no user fills a page without bound.
 
     Variants by event_id: every 10th price is written as an integer (silently dropped),
     every 17th date is date-only (BAD_TIMESTAMP), every 19th price gets a 'd' suffix
-    (BAD_HISTORY_PRICE).
+    (BAD_HISTORY_PRICE). ``clean``: users with an odd number have no such dates and prices.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    chunk = ((F.year("ts") - 2000) * 12 + F.month("ts")).cast("bigint")
+    if clean:
+        ev = ev.where((F.col("user_id") % 2 == 0) | ((F.col("event_id") % 17 != 0) & (F.col("event_id") % 19 != 0)))
+    block = F.floor(F.col("event_id") / EVENT_BLOCK).cast("bigint")
+    chunk = block * 1000 + ((F.year("ts") - 2000) * 12 + F.month("ts")).cast("bigint")
     date_txt = F.when(F.col("event_id") % 17 == 0, F.date_format("ts", "yyyy-MM-dd")) \
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     price_txt = (F.when(F.col("event_id") % 10 == 0, F.round("value").cast("bigint").cast("string"))
@@ -49,17 +54,17 @@ def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
          .agg(F.array_sort(F.collect_list(pair)).alias("p")))
     pid = F.format_string("P%d-%d", "user_id", "chunk")
     return g.select("user_id", "chunk", pid.alias("internal_pid"),
-                    _asin_of(F.col("user_id") * 1000 + F.col("chunk")).alias("asin"),
+                    _asin_of(F.floor(F.col("chunk") / 1000) * 10_000_000 + F.col("user_id") * 1000 + F.col("chunk") % 1000).alias("asin"),
                     F.array_join(F.col("p.t"), "~*~*").alias("payload"))
 
 
-def history_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_pages(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
     """``history_pages(internal_pid, http_status, html)``.
 
     Every 13th series' page failed (503); every 11th has no marked script; every
     7th has the marker without a quoted payload.
     """
-    s = history_series(spark, sf_dir)
+    s = history_series(spark, sf_dir, clean)
     k = F.col("user_id") + F.col("chunk")
     html = (F.when(k % 11 == 0, F.lit("<html><script>var q=1;</script></html>"))
             .when(k % 7 == 0, F.lit("<html><script>window.d={predictedData: null};</script></html>"))
@@ -94,6 +99,16 @@ def history_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("internal_pid").alias("request_id"), url.alias("url"))
 
 
+def product_id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id_lookup`` for product pages: part ``k`` has the latest series of user ``k % 200``; every
+    23rd response lacks the id; parts without such a user have no response."""
+    s = history_series(spark, sf_dir).groupBy("user_id").agg(F.max_by("internal_pid", "chunk").alias("internal_pid"))
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 200).alias("user_id"))
+    body = F.when(F.col("p_partkey") % 23 == 0, F.lit('{"data":{"pos":6326}}')).otherwise(
+        F.concat(F.lit('{"data":{"internalPid":"'), F.col("internal_pid"), F.lit('"}}')))
+    return p.join(s, "user_id").select(_asin_of(F.col("p_partkey")).alias("asin"), F.lit(200).alias("http_status"), body.alias("body"))
+
+
 # ----------------------------------------------------------------------- part-based
 
 def part_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,8 +306,28 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages(url, http_status, html)``; every 61st request's page never landed."""
-    return product_pages(spark, sf_dir).where(F.col("scrape_seq") % 61 != 0).select("url", "http_status", "html")
+    """``pages(url, scrape_seq, http_status, html)``; every 61st request's page never landed."""
+    return product_pages(spark, sf_dir).where(F.col("scrape_seq") % 61 != 0).select("url", "scrape_seq", "http_status", "html")
+
+
+def revisited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of urls that are fetched again and again: one url per part, one fetch per lineitem, in the
+    order of the orders; every 5th fetch failed."""
+    li = table(spark, sf_dir, "lineitem")
+    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return li.select(F.concat(F.lit(SHOP + "dp/"), _asin_of(F.col("l_partkey"))).alias("url"), seq.alias("scrape_seq"),
+                     F.when(seq % 5 == 0, F.lit(503)).otherwise(F.lit(200)).alias("http_status"),
+                     F.format_string("<html>%d</html>", seq).alias("html"))
+
+
+def revisiting_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each lineitem's url, up to 2,000 numbers after its fetch or before all of them;
+    every 97th has no url."""
+    li = table(spark, sf_dir, "lineitem")
+    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    url = F.when(seq % 97 != 0, F.concat(F.lit(SHOP + "dp/"), _asin_of(F.col("l_partkey"))))
+    return li.select(F.format_string("%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("request_id"), url.alias("url"),
+                     F.when(seq % 31 == 0, F.lit(0).cast("bigint")).otherwise(seq + F.col("l_suppkey") * 7 % 2000).alias("scrape_seq"))
 
 
 # ------------------------------------------------------- stored vs new batch
@@ -309,6 +344,18 @@ def stored_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("title", price.alias("price"), F.col("p_partkey").alias("scrape_seq"))
 
 
+def title_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-scraped products: several parts share a title, every 50th part the same one."""
+    p = _titled_parts(spark, sf_dir)
+    return p.select("p_partkey", F.when(F.col("p_partkey") % 50 == 0, F.lit("hot item")).otherwise(F.col("title")).alias("title"))
+
+
+def title_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored offers of those products, which know their product by its title only."""
+    o = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return o.join(title_parents(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).select(F.col("title").alias("product_title"), "l_partkey", "l_suppkey")
+
+
 def new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new scrape batch: parts with an odd key."""
     p = _titled_parts(spark, sf_dir).where(F.col("p_partkey") % 2 == 1)

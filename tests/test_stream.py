@@ -10,3 +10,49 @@ def test_stream_equals_batch(spark):
     b = E.queries()["product_details"](spark, SF)
     cols = sorted(b.columns)
     assert sorted(map(tuple, s.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_fan_out_stream_restarts_between_and_inside_of_batches(spark, tmp_path, monkeypatch):
+    """A stream of all tables that dies inside of a micro-batch and is restarted equals the batch job."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from listing_etl import schemas as SC
+    from listing_etl.plans import pipeline as PL
+    from listing_etl.plans import testbed as T
+    from listing_etl.sources import sinks as K
+    from listing_etl.sources.ledger import Ledger
+    from listing_etl.streaming import intake as IN
+    pages = T.product_pages(spark, SF).where(F.col("scrape_seq") % 7 == 0).select(*[f.name for f in SC.PAGES.fields])
+    pages = K.stage(spark, pages, "test-pages")
+    cuts = [(-1, 3000), (3000, 6000), (6000, 1 << 60)]
+    landing, out, plain, check = (str(tmp_path / x) for x in ("landing", "out", "plain", "check"))
+    rows = lambda root: {t: sorted(str(r.asDict()) for r in PL.read_table(spark, root, t).drop("batch_id").collect()) for t in PL.TABLES}
+
+    def land(i):
+        pages.where(F.col("scrape_seq").between(cuts[i][0] + 1, cuts[i][1])).coalesce(1).write.mode("append").parquet(landing)
+
+    for i, (a, b) in enumerate(cuts):
+        PL.run_products(spark, pages.where(F.col("scrape_seq").between(a + 1, b)), plain, i)
+    land(0)
+    IN.stream_all(spark, landing, out, check).awaitTermination()
+    one = rows(out)
+    write, left = Ledger.write, [4]
+
+    def dying(self, df, table, batch, attempt, fmt="parquet"):
+        left[0] -= 1
+        if left[0] < 0:
+            raise RuntimeError("killed")
+        write(self, df, table, batch, attempt, fmt)
+
+    monkeypatch.setattr(Ledger, "write", dying)
+    land(1)
+    with pytest.raises(Exception, match="killed"):
+        IN.stream_all(spark, landing, out, check).awaitTermination()
+    monkeypatch.undo()
+    assert rows(out) == one                       # half a micro-batch is not to be seen
+    land(2)
+    IN.stream_all(spark, landing, out, check).awaitTermination()
+    assert rows(out) == rows(plain)
+    IN.stream_all(spark, landing, out, check).awaitTermination()          # nothing new landed
+    assert rows(out) == rows(plain)
