@@ -52,6 +52,8 @@ CELL_ROWS = 256
 PASS_ITEMS = 1000
 #: Cells that give each query its floor.
 SEED_CELLS = 3
+#: Cells in a file of the index (a cell takes about a megabyte).
+INDEX_ROWS = 8
 PLANES, SEED = 24, 11
 
 # Bytes of terms (letters and digits of ASCII, lower-cased, and all other characters).
@@ -337,7 +339,7 @@ def _pass(docs: DataFrame, rows: list[tuple], item_type: T.DataType, key: str, t
     counts = staged(counted(docs, queries, key, text), "term-counts")
     kind = counts.schema["id"].dataType
     stats = statistics(counts, len(queries.vocabulary))
-    cells = staged(index(placed(counts, stats, cell_rows), queries), "index")
+    cells = staged(index(placed(counts, stats, cell_rows), queries), "index", INDEX_ROWS)
     bounds = staged(cell_bounds(cells, queries, stats.weights), "bounds")
     seeds = _first(bounds, seed_cells, [F.col("bound").desc(), "cell"]).select("cell", "q", F.lit(0).cast("long").alias("floor"))
     floors = _first(scored(cells, seeds, queries, stats.weights, k), k, [F.col("score").desc()]).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
