@@ -1,15 +1,17 @@
 """Main text of pages by site template removal.
 
-Pass one parses every page and hashes its element subtrees (tag, class, id, text and the
-hashes of the children, from the leaves up). Spark counts on how many pages of a host each
-hash occurs; pages with equal content count once, so that copies of an article do not look
-like a template. Pass two parses again and deletes the subtrees that recur on many pages of
-their host, besides what markup itself tells to be no article: navigation, footers, asides,
-forms, scripts, adverts, notices, comments and so on by element, role, class or id.
-
-If a page marks its content (``article``, else ``main``), only text in there is kept, and
-inside it only containers can be templates, never paragraphs, headings or list items: lines
-that many documents share stay. Elsewhere every subtree can be one.
+Every page is parsed once: its text is cut into blocks, and its container subtrees are hashed (tag,
+class, id, text and the hashes of the children, from the leaves up), each with the range of blocks
+that it holds. Spark counts on how many pages of a host each hash occurs; pages with equal
+content count once, so that copies of an article do not look like a template. The ranges of
+subtrees that recur on ``MIN_PAGES`` pages or more of their host are deleted from the blocks.
+Paragraphs, headings, list items and table cells are never templates by themselves: lines that many
+documents share stay.
+
+Where too few pages of a host were seen, markup tells what is no article: navigation, footers,
+asides, forms, scripts and so on by element or role. If a page marks its content (``article``,
+else ``main``), only text in there is kept; inside of it names count only if a container is called
+exactly an advert or reader comments. On other pages words in the class or id of an element count.
 
 Edge cases: null and empty pages give an empty text; unclosed, misnested and cut markup is
 closed as browsers close it (end of page closes all); null or odd urls share one empty host;
@@ -30,10 +32,8 @@ from pyspark.sql import functions as F
 
 from listing_etl.llm.common import prepare, slices, staged
 
-#: A subtree is a template if it is on so many pages of a host and on this share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.1
-#: Template hashes up to which they are broadcast; beyond it pages are shuffled by host.
-BROADCAST_ROWS = 500_000
+#: A subtree is a template if it is on so many pages of a host with different content.
+MIN_PAGES = 5
 
 # a quote opens a value only behind '='; the end of the page ends a tag or comment
 _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
@@ -57,9 +57,12 @@ _DROP_NAME = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adb
               "comment", "comments", "disqus", "respond", "related", "recommended", "widget", "toolbar", "masthead", "pagination", "pager",
               "login", "search", "copyright", "legal"}
 _KEEP = {"html", "body", "article", "main"}
-#: Inside marked content these are text, never a template.
-_TEXT = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "tbody",
-         "b", "i", "em", "strong", "a", "span", "code", "q", "cite", "sub", "sup", "small", "u", "s", "mark", "figcaption"}
+#: Whole names of containers that are no article inside of one.
+_INSIDE_NAME = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "comments", "comment", "comment-list", "reader-comments"}
+_CONTAINER = {"address", "aside", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hgroup", "menu", "nav", "ol",
+              "section", "table", "ul"}
+#: Where a search for an element to close ends.
+_ENDS_SEARCH = _FENCE | (_BLOCK - {"p", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead"})
 
 
 class _Node:
@@ -83,8 +86,11 @@ def _dropped(tag: str, attributes: str, inside: int) -> tuple[bool, str, bool]:
     if tag in _KEEP and not (tag == "article" and "comment" in name):
         return False, name, role == "main"
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-    words = set(re.split(r"[^a-z]+", name))
-    return hidden or role in _DROP_ROLE or bool(words & _DROP_NAME), name, role == "main"
+    if inside:
+        named = tag in _CONTAINER | {"article", "ins"} and bool(_INSIDE_NAME.intersection(name.split()))
+    else:
+        named = bool(_DROP_NAME.intersection(re.split(r"[^a-z]+", name)))
+    return hidden or role in _DROP_ROLE or named, name, role == "main"
 
 
 def parse(page: str | None) -> tuple[list, list[_Node]]:
@@ -94,6 +100,8 @@ def parse(page: str | None) -> tuple[list, list[_Node]]:
     events: list = []
     nodes: list[_Node] = []
     stack: list[int] = []
+    places: dict[str, list[int]] = {}       # places in the stack by tag, the innermost last
+    fences: list[int] = []                  # and of elements that end a search
     articles = mains = 0
 
     def close(upto: int) -> None:
@@ -101,6 +109,9 @@ def parse(page: str | None) -> tuple[list, list[_Node]]:
         while len(stack) > upto:
             i = stack.pop()
             n = nodes[i]
+            places[n.tag].pop()
+            if fences and fences[-1] == len(stack):
+                fences.pop()
             n.end = len(events)
             events.append(~i)
             n.digest = n.hash.intdigest()
@@ -129,20 +140,17 @@ def parse(page: str | None) -> tuple[list, list[_Node]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for d in range(len(stack) - 1, -1, -1):
-                if nodes[stack[d]].tag == tag:
-                    close(d)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in _ENDS_P or tag in _CLOSES:
             want = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for d in range(len(stack) - 1, -1, -1):
-                open_ = nodes[stack[d]].tag
-                if open_ in want:
-                    close(d)
-                    if not tag.startswith("t"):
-                        break
-                elif open_ in _FENCE or open_ in _BLOCK and open_ not in ("p", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead"):
+            while True:
+                d = max((places[t][-1] for t in want if places.get(t)), default=-1)
+                if d < 0 or fences and fences[-1] > d:
+                    break
+                close(d)
+                if not tag.startswith("t"):
                     break
         drop, name, main = _dropped(tag, m[3], articles + mains)
         mark = 2 if tag == "article" and not drop else 1 if tag == "main" or main else 0
@@ -150,6 +158,9 @@ def parse(page: str | None) -> tuple[list, list[_Node]]:
         mains += mark == 1
         nodes.append(_Node(tag, drop, 2 if articles else 1 if mains else 0, mark, len(events), name))
         events.append(len(nodes) - 1)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _ENDS_SEARCH:
+            fences.append(len(stack))
         stack.append(len(nodes) - 1)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             close(len(stack) - 1)
@@ -176,9 +187,13 @@ def content_mark(nodes: list[_Node]) -> int:
     return best
 
 
-def blocks(events: list, nodes: list[_Node], templates: frozenset = frozenset()) -> list[str]:
-    """Texts of the blocks of the main content in page order."""
+def lay_out(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+    """Texts of the blocks of the main content in page order, and the container subtrees: hash, first
+    block and behind the last one, and whether markup tells that it is no article (its text is in no
+    block, nor that of anything outside of marked content)."""
+    events, nodes = parse(page)
     mark, out, now = content_mark(nodes), [], []
+    found, begins = [], {}
 
     def flush() -> None:
         t = " ".join("".join(now).split())
@@ -194,39 +209,26 @@ def blocks(events: list, nodes: list[_Node], templates: frozenset = frozenset())
             if inside or not mark:
                 now.append(e)
             continue
-        n = nodes[e if e >= 0 else ~e]
-        if e >= 0 and (n.drop or n.digest in templates and can_be_template(n, mark)):
-            if n.tag in _BLOCK:
-                flush()
-            i = n.end + 1
-            continue
+        number = e if e >= 0 else ~e
+        n = nodes[number]
         if n.tag in _BLOCK:
             flush()
         elif n.tag == "br" and e >= 0:
             now.append(" ")
+        box = n.tag in _CONTAINER and not n.mark and n.end > n.begin + 1
+        if e >= 0 and n.drop:
+            if box:
+                found.append((n.digest, len(out), len(out), True))
+            i = n.end + 1
+            continue
+        if box and e >= 0:
+            begins[number] = len(out)
+        elif box:
+            found.append((n.digest, begins.pop(number), len(out), False))
         if mark and n.mark == mark:
             inside += 1 if e >= 0 else -1
     flush()
-    return out
-
-
-def can_be_template(n: _Node, mark: int) -> bool:
-    return not n.drop and n.tag not in _KEEP and not n.mark and not (mark and n.place and n.tag in _TEXT)
-
-
-def subtree_hashes(page: str | None) -> tuple[int, set[int]]:
-    """Hash of a page's content, and of the subtrees that could be a template of its site."""
-    events, nodes = parse(page)
-    mark = content_mark(nodes)
-    found, skip = set(), -1
-    for n in nodes:
-        if n.begin < skip:
-            continue
-        if n.drop:
-            skip = n.end
-        elif can_be_template(n, mark) and (n.place or not mark) and n.end > n.begin + 1:
-            found.add(n.digest)
-    return xxhash.xxh64_intdigest("\n".join(blocks(events, nodes))), found
+    return out, found
 
 
 def host_of(url: Column) -> Column:
@@ -237,42 +239,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(``host``, ``hash``) of the subtrees that recur on many pages of a host."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            hosts, contents, hashes = [], [], []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                content, found = subtree_hashes(page)
-                found.add(0)                               # stands for the page itself
-                hosts += [host] * len(found)
-                contents += [_signed(content)] * len(found)
-                hashes += map(_signed, found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())],
-                                             names=["host", "content", "hash"])
-
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, content long, hash long")
-    counts = staged(seen.distinct().groupBy("host", "hash").count(), "subtrees")
-    sizes = counts.where(F.col("hash") == 0).select("host", F.col("count").alias("pages"))
-    many = F.greatest(F.lit(float(min_pages)), F.lit(min_share) * F.col("pages"))
-    return counts.where((F.col("hash") != 0) & (F.col("count") >= min_pages)).join(sizes, "host").where(F.col("count") >= many).select("host", "hash")
-
-
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``key``, ``url`` and ``text`` of every page."""
+_LAID = "row long, host string, content long, blocks array<string>, boxes array<struct<hash:long,first:int,last:int,markup:boolean>>"
+_BOX = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("markup", pa.bool_())]))
+
+
+def laid_out(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``key``, ``url`` and the layout of every page, written down: it is parsed once."""
     prepare(pages.sparkSession)
-    found = staged(site_templates(pages, url, html).groupBy("host").agg(F.collect_set("hash").alias("templates")), "templates")
-    size = found.agg(F.sum(F.size("templates"))).first()[0] or 0
-    found = F.broadcast(found) if size <= BROADCAST_ROWS else found
-    narrow = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    rows = narrow.join(found, "host", "left").select("key", "url", "html", "templates")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.monotonically_increasing_id().alias("row"),
+                        host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = []
-            for page, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                texts.append("\n".join(blocks(*parse(page), frozenset(x & (1 << 64) - 1 for x in t or ()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
+            laid = [lay_out(page.as_py()) for page in b.column(4)]
+            content = [_signed(xxhash.xxh64_intdigest("\n".join(blocks))) for blocks, _ in laid]
+            boxes = [[(_signed(h), *rest) for h, *rest in found] for _, found in laid]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(content, pa.int64()), pa.array([x for x, _ in laid], pa.list_(pa.string())),
+                                              pa.array(boxes, _BOX)], names=["key", "url", "row", "host", "content", "blocks", "boxes"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, url string, text string").select(F.col("key").alias(key), F.col("url").alias(url), "text")
+    return staged(rows.mapInArrow(run, f"key {kind}, url string, {_LAID}"), "layouts")
+
+
+def _boxes(laid: DataFrame) -> DataFrame:
+    return laid.select("row", "host", "content", F.explode("boxes").alias("b")).select("row", "host", "content", "b.*")
+
+
+def templates_of(laid: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(``host``, ``hash``, ``pages``) of the subtrees that recur on many pages of a host."""
+    seen = _boxes(laid).select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    return seen.where(F.col("pages") >= min_pages)
+
+
+def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    return templates_of(laid_out(pages, url, url, html), min_pages)
+
+
+def deletions(laid: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """How many subtrees are deleted, by what tells so: (``template``, ``markup``, ``n``)."""
+    known = templates_of(laid, min_pages).select("host", "hash", F.lit(True).alias("template"))
+    rows = _boxes(laid).join(known, ["host", "hash"], "left").select(F.coalesce("template", F.lit(False)).alias("template"), "markup")
+    return rows.where(F.col("template") | F.col("markup")).groupBy("template", "markup").agg(F.count("*").alias("n"))
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    """``key``, ``url`` and ``text`` of every page."""
+    laid = laid_out(pages, key, url, html)
+    known = staged(templates_of(laid, min_pages).select("host", "hash"), "templates")
+    # only boxes that hold text of the result; only numbers are joined, and a page's own ranges gathered
+    ranges = _boxes(laid).where(F.col("first") < F.col("last")).join(known, ["host", "hash"], "left_semi")
+    gone = staged(ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "ranges")
+    kept = F.filter("blocks", lambda t, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i < g["last"])))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(kept), "\n")
+    return laid.join(gone, "row", "left").select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))

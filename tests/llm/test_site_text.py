@@ -5,8 +5,8 @@ import pytest
 from listing_etl.llm import site_text as H
 
 
-def text(page, templates=frozenset()):
-    return "\n".join(H.blocks(*H.parse(page), templates))
+def text(page):
+    return "\n".join(H.lay_out(page)[0])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
@@ -34,11 +34,18 @@ def test_odd_markup(page, want):
 
 def test_linear_time():
     began = time.time()
-    for page in ("<p>x" * 30_000, '<a b="' * 20_000, "<a <a " * 20_000, "<!--" * 20_000, "<div>" * 20_000, "<li>y" * 30_000, "<" * 50_000, "<b>" * 20_000 + "</i>" * 200):
+    for page in ("<p>x" * 30_000, '<a b="' * 20_000, "<a <a " * 20_000, "<!--" * 20_000, "<div>" * 20_000, "<li>y" * 30_000, "<" * 50_000, "<b>" * 20_000 + "</i>" * 20_000,
+                 "<i>" * 16_000 + "</x>" * 16_000, "<i>" * 16_000 + "<hr>" * 16_000, "<table><tr><td>" + "<i>" * 16_000 + "<p>" * 16_000):
         text(page)
     assert time.time() - began < 30
 
 
+def test_names_inside_of_an_article_delete_no_text():
+    page = """<article><h1>T</h1><h2 id="related-work">Related</h2><p>one</p><section id="legal-basis"><p>basis</p></section><p class="search">look</p>
+    <div class="share-of-votes"><p>two</p></div><div class="ads"><p>buy</p></div></article>"""
+    assert text(page).split("\n") == ["T", "Related", "one", "basis", "look", "two"]
+
+
 def test_templates_go_and_shared_lines_stay(spark):
     box = "<div><p>Read our magazine</p><p>every week</p></div>"
     rows = []
@@ -53,15 +60,32 @@ def test_templates_go_and_shared_lines_stay(spark):
     assert len(got) == len(rows)
     by = {r["page_id"]: r["text"] for r in got}
     for i in range(30):
-        assert by[i] == f"own text {i}"                     # outside marked content a shared paragraph is a template, too
+        assert by[i] == f"own text {i}\na line that all documents share"
         assert by[100 + i] == f"own text {i}\na line that all documents share"
         assert "copy of one page" in by[200 + i]            # copies of a page are no template
-    assert by[300] == "x" and by[301] == "" and by[None] == "own text 0"
+    assert by[300] == "x" and by[301] == "" and by[None] == by[0]
     assert H.main_text(df.limit(0)).count() == 0
 
 
-def test_the_way_beyond_broadcasting(spark, monkeypatch):
-    monkeypatch.setattr(H, "BROADCAST_ROWS", -1)
+def test_a_template_is_judged_by_pages_not_by_the_size_of_its_host(spark):
+    """The same box on 10 pages goes, whether the host has 90 pages or 110; on 4 pages it stays."""
     box = "<div><p>Read our magazine</p></div>"
-    df = spark.createDataFrame([(i, "http://a.org/", f"{box}<p>own {i}</p>") for i in range(20)], "page_id long, url string, html string")
-    assert {r["text"] for r in H.main_text(df).collect()} == {f"own {i}" for i in range(20)}
+    for n in (90, 110):
+        rows = [(i, f"http://h{k}.org/{i}", f"<article><p>own {i}</p>{box if i < k else ''}</article>") for k in (4, 10) for i in range(n)]
+        got = {(r["url"]): r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got["http://h10.org/0"] == "own 0" and got["http://h4.org/0"] == "own 0\nRead our magazine"
+
+
+def test_nested_templates_and_their_ranges(spark):
+    menu, box = "<ul><li>a</li><li>b</li></ul>", "<section>{}<p>c</p></section>"
+    rows = [(i, "http://a.org/", f"<p>top {i}</p>{box.format(menu) if i < 6 else menu}<div><p>end {i}</p></div>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in H.main_text(df).collect()} == {f"top {i}\nend {i}" for i in range(12)}
+    assert {r["text"] for r in H.main_text(df, min_pages=7).collect()} == {f"top {i}\n{'c' + chr(10) if i < 6 else ''}end {i}" for i in range(12)}
+
+
+def test_templates_are_found_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    n = {(r["template"], r["markup"]): r["n"] for r in H.deletions(H.laid_out(pages)).collect()}
+    assert n[(True, True)] > 0 and n[(False, True)] > 0
+    assert H.site_templates(pages).count() > 0
