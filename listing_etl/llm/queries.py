@@ -11,6 +11,7 @@ from listing_etl.llm.common import prepare, staged, table
 from listing_etl.session import scratch_path
 
 SHARDS = 40
+SEGMENT_BYTES, FILE_RECORDS = 2 << 10, 10_000
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -86,9 +87,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = scratch_path(spark, "archives")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    # small segments: most pages are put together again from several
+    warc.write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=SEGMENT_BYTES, file_records=FILE_RECORDS)
     records = warc.reassemble(warc.read_records(spark, path))
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*):[0-9]+>$", 1)
     own = F.when(F.col("status") == "ok", F.octet_length("payload").cast("long"))
     read = staged(records.select("id", "refers", own.alias("own"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "status"), "records")
     sizes = read.where(F.col("record_type") == "response").groupBy(F.col("id").alias("origin")).agg(F.max("own").alias("size"))
