@@ -1,7 +1,8 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Texts become lower-cased letter and digit words and sets of hashed five-word shingles
-(64 bits; fewer words: the whole sequence is one shingle). Test items are partitioned by
+(64 bits). An item of fewer words is one shingle of all its words, and documents have the runs of
+as many words for every such length that occurs among the items. Test items are partitioned by
 the size of their set, each size class spanning a factor of two. The MinHash signature of
 an item is the k smallest hashes of its set; k belongs to its class. If at least ``t`` of
 an item's n shingles are in a document, fewer than k = n - ceil(t n) + 1 are missing, so
@@ -34,16 +35,24 @@ CONTAINMENT = 0.8
 BROADCAST_ROWS = 2_000_000
 
 
-def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """Distinct 64-bit hashes of the word shingles of a text (null text: empty)."""
+def shingle_hashes(text: Column, words: int = WORDS, runs: tuple[int, ...] | None = None) -> Column:
+    """Distinct 64-bit hashes of the word shingles of a text (null text: empty). Of an item
+    (``runs`` is null) with fewer words: of all its words; of a document: also of its runs of the
+    lengths ``runs``, each below ``words``."""
     w = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
     def hashes(w: Column) -> Column:
         n = F.size(w)
-        each = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(words))))
-        return (F.when(n >= words, each)
-                .when(n > 0, F.array(F.xxhash64(F.array_join(w, " "))))
-                .otherwise(F.array().cast("array<bigint>")))
+        none = F.array().cast("array<bigint>")
+        each = F.when(n >= words, F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(words)))))
+        if runs is None:
+            return F.coalesce(each, F.when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))), none)
+
+        def run(r: int) -> Column:
+            joined = lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + k) for k in range(r))))
+            return F.when(n >= r, F.transform(F.sequence(F.lit(0), n - r), joined))
+
+        return F.concat(*(F.coalesce(x, none) for x in [each, *map(run, runs)]))
 
     # the words are an element of an array here, so that they are computed once
     return F.array_distinct(F.flatten(F.transform(F.array(w), hashes)))
@@ -55,6 +64,13 @@ def _signature_size(n: Column, t: float) -> Column:
     return (top - F.ceil(F.lit(t) * top - 1e-9) + 1).cast("int")
 
 
+def short_lengths(items: DataFrame, key: str = "item_id", text: str = "text", words: int = WORDS) -> tuple[int, ...]:
+    """The numbers of words below ``words`` that items have (at most ``words`` - 1 of them)."""
+    n = F.size(F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
+    found = items.where(F.col(key).isNotNull()).select(n.alias("n")).where(F.col("n").between(1, words - 1)).distinct()
+    return tuple(sorted(r["n"] for r in found.collect()))
+
+
 def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """``item``, ``n`` and ``hashes`` (sorted) of every item with at least one shingle."""
     sets = (items.where(F.col(key).isNotNull())
@@ -75,17 +91,18 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     that contains at least ``threshold`` of an item's distinct shingles."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
+    runs = short_lengths(items, item_key, item_text)
     items = staged(item_sets(items, item_key, item_text), "items")
     size = F.least("n", _signature_size(F.col("n"), threshold))
     sketch = items.select("item", F.explode(F.slice("hashes", 1, size)).alias("h"))
     docs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("body"))
     sketch = _small(sketch, broadcast_rows)
     # candidates: documents that hold a signature shingle
-    seen = docs.select("doc", F.explode(shingle_hashes(F.col("body"))).alias("h"))
+    seen = docs.select("doc", F.explode(shingle_hashes(F.col("body"), runs=runs)).alias("h"))
     pairs = staged(seen.join(sketch, "h").select("doc", "item").distinct(), "candidates")
     # verification: the item's shingles in those documents, counted exactly
     some = _small(pairs.select("doc").distinct(), broadcast_rows)
-    again = docs.join(some, "doc", "left_semi").select("doc", F.explode(shingle_hashes(F.col("body"))).alias("h"))
+    again = docs.join(some, "doc", "left_semi").select("doc", F.explode(shingle_hashes(F.col("body"), runs=runs)).alias("h"))
     all_ = items.select("item", "n", F.explode("hashes").alias("h"))
     every = _small(all_, broadcast_rows)
     found = again.join(every, "h").groupBy("doc", "item").agg(F.countDistinct("h").alias("shared"), F.first("n").alias("n"))

@@ -16,7 +16,8 @@ def brute(docs, items, t=0.8):
     by = {}
     for i, x, *_ in docs:
         if i is not None:
-            by.setdefault(i, set()).update(shingles(x))
+            # a document has the runs of 1 to 4 words, too: items of fewer than five words are found in it
+            by.setdefault(i, set()).update(*(shingles(x, k) for k in range(1, 6)))
     want = set()
     for j, y, *_ in items:
         s = shingles(y)
@@ -57,6 +58,12 @@ def test_planted_passages_equal_brute_force(spark):
     assert run(spark, docs, items, threshold=0.5) == brute(docs, items, 0.5)
 
 
+def test_items_of_few_words_are_found_inside_of_documents(spark):
+    docs = [(1, "a long text with a Short, answer phrase in it", 1, "x"), (2, "short answer", 1, "x"), (3, "answer short phrase and others", 1, "x"), (4, "phrase", 1, "x")]
+    items = [(1, "short answer phrase", "n", 0), (2, "phrase", "n", 0), (3, "short answer", "n", 0)]
+    assert run(spark, docs, items) == {(1, 1, 1, 1), (1, 2, 1, 1), (3, 2, 1, 1), (4, 2, 1, 1), (1, 3, 1, 1), (2, 3, 1, 1)} == brute(docs, items)
+
+
 def test_empty_tables(spark):
     docs, items = [(1, "a b c d e f", 1, "x")], [(1, "a b c d e f", "n", 0)]
     assert run(spark, docs, items) == {(1, 1, 2, 2)}
