@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps, written as Parquet
 and read again as the next one's ``docs``. Models are fitted on the labelled rows of the whole
-``documents`` table; the stages work on all rows that their predecessor kept. Null ids are
-kept by the stages that reject or group by id (they name no document).
+``documents`` table; the stages work on all rows that their predecessor kept. Rows are told apart by
+id and text: rows of one id with different texts are judged each by itself, and rows without an
+id like all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listing_etl.llm import decontaminate, quality, queries, sentencepiece_codec, simhash, toxicity
@@ -26,19 +27,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, once."""
-    groups = simhash.near_duplicates(docs)
-    firsts = staged(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts")
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """One document of each group: that with the smallest id (rows without an id come last), once."""
+    # orders rows of a group; rows that are equal in it are repeated rows
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _digest().alias("digest"))
+    packed = docs.select(F.struct("*").alias("doc"), row.alias("row"), F.col("text").alias("body"))
+    groups = simhash.near_duplicates(packed, "row", "body")
+    firsts = staged(groups.where(F.col("row") == F.col("component_id")).select(_name(F.col("row.id"), F.col("row.digest")).alias("name")).distinct(), "firsts")
+    named = packed.select("doc", _name(F.col("row.id"), F.col("row.digest")).alias("name"))
+    return named.join(firsts, "name", "left_semi").dropDuplicates(["name"]).select("doc.*")
+
+
+def _digest() -> Column:
+    return F.sha1(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def _name(key: Column, digest: Column) -> Column:
+    """Tells rows apart by id and text."""
+    return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("-")), digest)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     prepare(spark)
-    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    leaked = staged(found.select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti")
+    named = docs.select(F.struct("*").alias("doc"), _name(F.col("doc_id"), _digest()).alias("name"), F.col("text").alias("body"))
+    found = decontaminate.contained_items(named, table(spark, sf_dir, "benchmark"), "name", "body")
+    leaked = staged(found.select("name").distinct(), "leaked")
+    return named.join(leaked, "name", "left_anti").select("doc.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
