@@ -83,6 +83,18 @@ def test_pipeline_equals_its_stages_on_what_came_before(spark, tables):
     assert set(last) == keep[3] and all(r["lossless"] and len(r["ids"]) == r["n_tokens"] for r in last.values())
 
 
+def test_rows_without_an_id_and_of_one_id_are_judged_by_themselves(spark, tables):
+    docs = table(spark, SF, "documents")
+    leak = next(b["text"] for b in tables["benchmark"])
+    rows = [(5, "one text of some words", "en", "s", 1), (5, "another thing altogether, longer than that", "en", "s", 1), (None, "no id but a text", "en", "s", 1),
+            (None, "no id but a text", "de", "s", 2), (7, "no id but a text", "en", "s", 1), (None, "a " + leak + " b", "en", "s", 1), (8, "clean and short", "en", "s", 1)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    kept = sorted((r["doc_id"] or 0, r["text"][:9]) for r in P.drop_near_duplicates(spark, odd, SF).collect())
+    assert kept == sorted([(5, "one text "), (5, "another t"), (7, "no id but"), (0, ("a " + leak)[:9]), (8, "clean and")])
+    left = P.drop_contaminated(spark, odd, SF)
+    assert left.columns == docs.columns and left.count() == 6 and leak not in {r["text"] for r in left.collect()}
+
+
 def test_stages_on_nulls_repeats_and_empty_tables(spark):
     docs = table(spark, SF, "documents")
     odd = spark.createDataFrame([(None, "some words here", None, None, None), (900001, None, None, None, None), (900002, "", "en", "s", 0), (900002, "", "en", "s", 0)], docs.schema)
