@@ -62,7 +62,7 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     rows = staged(docs.select(
         F.col(key).alias("key"), (F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + overhead).alias("size"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"), _tokens(body).alias("tokens"),
-        F.xxhash64(body.isNull(), body).alias("of")), "rows")
+        F.xxhash64(body.isNull(), body).alias("of"), F.monotonically_increasing_id().alias("row")), "rows")
     bundles = shards * BUNDLES_PER_SHARD
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     measures = ("size", "tokens", "n")
@@ -73,7 +73,7 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     heavy = groups.where(share > 1 / bundles).select("of", F.greatest(F.lit(1), F.ceil(share * shards * 2)).cast("int").alias("parts"), share.alias("share"))
     heavy = heavy.select("of", F.when(F.col("share") * shards > 1, F.col("parts")).otherwise(1).alias("parts"))
     marked = rows.join(F.broadcast(heavy), "of", "left")          # at most 3 * bundles rows
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))).otherwise(0).cast("int")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts"))).otherwise(0).cast("int")
     item = F.when(F.col("parts").isNull(), F.struct(F.pmod(F.col("of"), F.lit(bundles)).alias("of"), F.lit(-1).alias("part")))
     marked = marked.withColumn("item", item.otherwise(F.struct("of", part.alias("part")))).drop("of", "parts")
     items = marked.groupBy("item").agg(*sums).orderBy("item").collect()   # at most bundles + 3 * bundles + 6 * shards rows
@@ -82,10 +82,10 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     kind = T.StructType([T.StructField("item", marked.schema["item"].dataType), T.StructField("shard", T.IntegerType())])
     where = docs.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(items, to)], kind)
     sections = max(MIN_SECTIONS, int((whole["n"] or 0) // (shards * SECTION_ROWS)))
-    placed = marked.join(F.broadcast(where), "item").withColumn("section", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(sections)).cast("int"))
+    placed = marked.join(F.broadcast(where), "item").withColumn("section", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(sections)).cast("int"))
     placed = staged(placed.drop("item"), "placed")
     before = Window.partitionBy("shard").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "section").count().select("shard", "section", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inner = Window.partitionBy("shard", "section").orderBy("key", "text_crc32", "size")
+    inner = Window.partitionBy("shard", "section").orderBy("row")
     numbered = placed.withColumn("nth", F.row_number().over(inner) - 1).join(F.broadcast(starts) if shards * sections <= 1_000_000 else starts, ["shard", "section"])
     return numbered.select(F.col("key").alias(key), "size", "text_crc32", "tokens", "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"))

@@ -58,6 +58,39 @@ def test_edge_cases(spark):
         S.shard(df, 0)
 
 
+def plain_placement(vectors, shards):
+    """The rule, item by item: the heaviest first; of the shards that overflow least, the one whose
+    residual capacity has the highest dot product with the item, the first of equal ones."""
+    total = [sum(v[k] for v in vectors) or 1 for k in range(len(vectors[0]))]
+    share = [[x / t * shards for x, t in zip(v, total)] for v in vectors]
+    left, out = [[1.0] * len(total) for _ in range(shards)], [None] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: -max(share[i])):
+        over = [max(max(s - room, 0) for s, room in zip(share[i], left[j])) for j in range(shards)]
+        able = [j for j in range(shards) if over[j] <= min(over) + 1e-12]
+        dots = {j: sum(s * room for s, room in zip(share[i], left[j])) for j in able}
+        best = max(dots.values())
+        out[i] = min(j for j in able if dots[j] >= best - 1e-12)
+        left[out[i]] = [room - s for s, room in zip(share[i], left[out[i]])]
+    return out, left
+
+
+def test_placement_equals_the_rule_item_by_item():
+    r = np.random.default_rng(6)
+    for shards, n in ((3, 40), (7, 200)):
+        vectors = r.lognormal(0, 1.5, size=(n, 3))
+        want, left = plain_placement(vectors.tolist(), shards)
+        assert S.place(vectors, shards).tolist() == want
+        assert min(map(min, left)) > -0.5
+
+
+def test_rows_of_one_id_and_without_an_id_are_spread(spark):
+    rows = [(None, f"text {i}", "x", 1) for i in range(1500)] + [(7, "same text", "x", 1)] * 1500
+    got = rows_of(spark, rows, 4)
+    check(rows, got, 4)
+    sizes = np.bincount([g["shard"] for g in got], minlength=4)
+    assert sizes.max() <= 1.15 * sizes.mean()
+
+
 def test_placement_takes_the_highest_dot_product():
     items = np.array([[6, 1], [1, 6], [5, 1], [1, 5]], dtype=float)
     assert S.place(items, 2).tolist() == [0, 1, 1, 0] or S.place(items, 2).tolist() == [0, 0, 1, 1]
