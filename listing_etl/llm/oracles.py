@@ -89,9 +89,9 @@ def url_reputation(rules) -> str:
     return f"""
 WITH p AS ({parts}),
 names AS (
-  SELECT host, CASE WHEN is_long THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
-         CASE WHEN is_long THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
-  FROM (SELECT host, l, len(l) >= 3 AND array_to_string(l[-2:], '.') IN ({long_}) AS is_long
+  SELECT host, CASE WHEN is_ip THEN array_to_string(l, '.') WHEN is_long THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+         CASE WHEN is_ip THEN array_to_string(l, '.') WHEN is_long THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
+  FROM (SELECT host, l, regexp_matches(host, '^[0-9]+([.][0-9]+){{3}}(:[0-9]+)?$') AS is_ip, len(l) >= 3 AND array_to_string(l[-2:], '.') IN ({long_}) AS is_long
         FROM (SELECT DISTINCT host, string_split(regexp_extract(host, '^([^:]*)', 1), '.') AS l FROM p))
 ),
 outcome AS (
@@ -113,7 +113,8 @@ post AS (
 ),
 bounds AS (SELECT lv, nm, {bound} AS bound FROM post)
 SELECT page_id, host, path, {pick(lambda h, p, v: h + p)} AS rule,
-       coalesce({pick(lambda h, p, v: v)}, CASE WHEN coalesce(h.bound, d.bound, s.bound, w.bound) > {BLOCK_RATE} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce({pick(lambda h, p, v: v)}, CASE WHEN coalesce(h.bound, d.bound, s.bound, w.bound) > {BLOCK_RATE} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(coalesce(h.bound, d.bound, s.bound, w.bound), 6) AS bound
 FROM p JOIN names USING (host) LEFT JOIN bounds h ON h.lv = 'host' AND h.nm = host LEFT JOIN bounds d ON d.lv = 'domain' AND d.nm = domain
 LEFT JOIN bounds s ON s.lv = 'suffix' AND s.nm = suffix LEFT JOIN bounds w ON w.lv = 'all'
 """

@@ -53,7 +53,7 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     known = staged(url_reputation.reputations(page_outcomes(spark, sf_dir)), "reputations")
-    return url_reputation.judge(table(spark, sf_dir, "pages"), known, RULES).drop("bound")
+    return url_reputation.judge(table(spark, sf_dir, "pages"), known, RULES).withColumn("bound", F.round("bound", 6))
 
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

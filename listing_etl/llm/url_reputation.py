@@ -61,7 +61,10 @@ def _names(host: Column, long_suffixes: Sequence[str]) -> tuple[Column, Column]:
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
     two = F.size(labels) >= 3
     long_ = two & last(2).isin(*long_suffixes) if long_suffixes else F.lit(False)
-    return F.when(long_, last(3)).otherwise(last(2)), F.when(long_, last(2)).otherwise(last(1))
+    # an address has no registered domain: it is one name at every level
+    address = host.rlike(r"^[0-9]+(\.[0-9]+){3}(:[0-9]+)?$")
+    whole = lambda c: F.when(address, F.array_join(labels, ".")).otherwise(c)
+    return whole(F.when(long_, last(3)).otherwise(last(2))), whole(F.when(long_, last(2)).otherwise(last(1)))
 
 
 def _strength(rate: Column) -> Column:

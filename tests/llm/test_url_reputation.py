@@ -37,6 +37,36 @@ def test_hosts_paths_and_rules(spark):
         assert got[i]["verdict"] == (rule[2] if rule else "allow")
 
 
+def test_planted_bad_hosts_are_blocked_by_the_query(spark, tmp_path):
+    """The registered query over tables in which all pages of one host, and of one domain, are bad."""
+    from listing_etl.llm import queries as Q
+    hosts = ["good.org", "bad.org", "a.evil.net", "b.evil.net", "fine.net", "192.168.0.7:80"]
+    pages, labels = [], []
+    for i in range(1200):
+        h = hosts[i % 6]
+        pages.append((i, f"http://{h}/x/{i}", ""))
+        if i < 1100:
+            labels.append((i, 1, int(h in ("bad.org", "a.evil.net", "b.evil.net"))))
+    pages += [(5000, "http://new.evil.net/x/9", ""), (5001, "http://www.bad.org/y", ""), (5002, "http://unknown.io/z", ""), (5003, "http://bad.org/es/", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["page_id"]: r for r in Q.op2_url_reputation(spark, str(tmp_path)).collect()}
+    for i, url, _ in pages:
+        host = parts(url)[0]
+        bad = host.endswith("bad.org") or host.endswith("evil.net")
+        assert got[i]["verdict"] == ("block" if bad else "allow"), (url, got[i])
+        assert got[i]["rule"] is None and (got[i]["bound"] > U.BLOCK_RATE) == bad
+    import duckdb
+
+    from listing_etl.llm import oracles
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cols = ["page_id", "host", "path", "rule", "verdict", "bound"]
+    want = {tuple(r) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({oracles.url_reputation(RULES)})").fetchall()}
+    assert {tuple(r[c] for c in cols) for r in got.values()} == want
+
+
 def test_shrinkage_between_levels(spark):
     rows = [(f"http://bad{k}.spam.org/{i}", 1) for k in range(6) for i in range(60)]
     rows += [(f"http://h{k}.good.org/{i}", int(i == 0)) for k in range(6) for i in range(60)]
