@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from listing_etl.llm.common import append_columns, prepare, slices
 
 SAMPLE_ROWS = 20_000
-#: Labels (12 bytes each) up to which they are broadcast; beyond it they are shuffled.
-BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.3
 TREES, DEPTH, BINS, RATE, LEAF_ROWS, SHRINK = 120, 4, 48, 0.08, 20, 2.0
 

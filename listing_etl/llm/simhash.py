@@ -109,6 +109,8 @@ def segment_keys(words: np.ndarray, width: int = 23) -> tuple[np.ndarray, np.nda
 
 def golay_keys(fps: DataFrame) -> DataFrame:
     """(``fp``, ``bucket``) rows of distinct fingerprints: 3 to 18 for each."""
+    prepare(fps.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 17):
             fp = np.asarray(b.column(0)).view(np.uint64)

@@ -57,6 +57,98 @@ def test_toxic_counts_equal_a_direct_count(spark):
     assert {r["cell"]: [r["a"], r["b"]] for r in got.collect()} == want
 
 
+def plain_values(rows, grams):
+    """Toxic less ordinary log-likelihood of n-grams by the formula, from plain counts of the texts."""
+    n, d, s = T.ORDER, T.DISCOUNT, T.STRENGTH
+    top = {}
+    for _, text, toxic in rows:
+        for w in set(T.words_of(text.lower())):
+            padded = "\x02" * (n - 1) + w + "\x03"
+            for i in range(len(padded) - n + 1):
+                top.setdefault(padded[i:i + n], [0, 0])[toxic] += 1
+    # shared counts: below the highest order, different characters in front
+    shared = {n: {g: sum(c) for g, c in top.items()}}
+    for k in range(n - 1, 0, -1):
+        shared[k] = {}
+        for g in {g[-k - 1:] for g in top}:
+            shared[k][g[1:]] = shared[k].get(g[1:], 0) + 1
+
+    def after(table, front):
+        return [c for g, c in table.items() if g[:-1] == front and c > 0]
+
+    def mixed(table, g, below, strength=0.0):
+        found = after(table, g[:-1])
+        total = sum(found) + strength
+        return (max(table.get(g, 0) - d, 0) + (len(found) * d + strength) * below) / total if total else below
+
+    out = {}
+    for g in grams:
+        p = 1 / 1024
+        for k in range(1, n + 1):
+            p = mixed(shared[k], g[-k:], p)
+        toxic, ordinary = (mixed({x: c[j] for x, c in top.items()}, g, p, s) for j in (1, 0))
+        out[g] = np.log(toxic) - np.log(ordinary)
+    return out
+
+
+def test_probabilities_of_all_orders_equal_the_formula(spark):
+    rows = corpus(n=30)
+    texts = [(i, t) for i, t, _ in rows[:6]] + [(99, "zgroka unseen xq é")]
+    train = spark.createDataFrame(rows, "id long, text string, toxic int").select("text", "toxic")
+    model = T.KneserNey(T.staged(T.nodes_of(T.model_cells(train)), "nodes"))
+    grams = sorted({g for _, t in texts for w in T.split(t) for g in T.spelled([w])[0][T.ORDER]})
+    got = {r["gram"]: r["value"] / 2 ** 32 for r in model.differences(spark.createDataFrame([(g,) for g in grams], "gram string")).collect()}
+    want = plain_values(rows, grams)
+    assert set(got) == set(want) and max(abs(got[g] - want[g]) for g in grams) < 1e-8
+
+
+def test_scores_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = corpus(n=200)
+    train = spark.createDataFrame([r for r in rows if r[0] % 2], "id long, text string, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (-1, "")], "doc_id long, text string")
+    model = T.fit(train, docs)
+    one = sorted((str(r["doc_id"]), r["score"]) for r in T.score(docs, model).collect())
+    model.values.small = False
+    assert sorted((str(r["doc_id"]), r["score"]) for r in T.score(docs, model).collect()) == one       # to the last bit
+    assert model.values.shared is None
+
+
+def plain_trees(x, y, trees, depth, bins):
+    """Margins of boosted trees, grown by trying every cut of every feature for every node."""
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        groups = [np.arange(len(y))]
+        for _ in range(depth):
+            split = []
+            for rows in groups:
+                best = (1e-9, None)
+                score = lambda r: g[r].sum() ** 2 / (h[r].sum() + Q.SHRINK)
+                for j, c in enumerate(cuts):
+                    for t in c:
+                        low, high = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                        if min(len(low), len(high)) >= Q.LEAF_ROWS:
+                            gain = score(low) + score(high) - score(rows)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (low, high))
+                split += best[1] or (rows, rows[:0])
+            groups = split
+        for rows in groups:
+            margin[rows] += -Q.RATE * g[rows].sum() / (h[rows].sum() + Q.SHRINK)
+    return margin
+
+
+def test_growing_equals_trying_every_cut():
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(300, 4)), 2)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] > 0.2)).astype(float)
+    got = Q.grow(x, y, trees=4, depth=3, bins=12)
+    assert np.allclose(got.margin(x), plain_trees(x, y, 4, 3, 12))
+
+
 def test_toxicity_without_a_class_or_rows(spark):
     rows = corpus(n=40)
     kind = "id long, text string, toxic int"
