@@ -20,6 +20,7 @@ a clash raises ``ValueError`` unless the column is to be replaced).
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ MARK = "▁"
 _NONE = np.iinfo(np.int32).max
 _SHIFT = 22                       # symbol ids and code points behind them fit in 22 bits
 _LONE = re.compile("[\udc80-\udcff]")
-#: Distinct words that a Python worker keeps encoded before it starts anew.
-CACHE_WORDS = 600_000
+#: Bytes of the words that a Python worker keeps encoded within a task before it starts anew.
+CACHE_BYTES = 32 << 20
 #: Symbols that one round of merges works on at most (a longer word is taken alone).
 ROUND_SYMBOLS = 500_000
 
@@ -91,12 +92,14 @@ class PieceCodec:
                     if p in normal and rank[normal[p]] >= rank[i]:
                         self.careful[rank[normal[p]]] = True
         self._decode_table(model, kind)
-        self._reset()
+        self.forget()
 
     # -- encoding ---------------------------------------------------------
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the encoded words (at the end of a task: the worker goes on living)."""
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
 
@@ -242,6 +245,7 @@ class PieceCodec:
                 self.known.update(zip(part, range(base, base + len(part))))
                 self.flat.append(ids)
                 self.lengths.append(n)
+                self.held += ids.nbytes + n.nbytes + sum(map(sys.getsizeof, part)) + 120 * len(part)
                 part, total = [], 0
             if w is not None:
                 part.append(w)
@@ -251,8 +255,8 @@ class PieceCodec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of all texts, and the offsets at which each text begins."""
-        if len(self.known) > CACHE_WORDS:
-            self._reset()
+        if self.held > CACHE_BYTES:
+            self.forget()
         words: list[str] = []
         per_text = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
@@ -329,10 +333,11 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        for b in slices(batches):
+        for b in slices(batches, 1 << 20):
             flat, bounds = c.encode(b.column(at).to_pylist())
             col = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, ids])
+        c.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -346,7 +351,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", text: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        for b in slices(batches):
+        for b in slices(batches, 1 << 20):
             col = b.column(at)
             flat = col.flatten()
             size = np.asarray(col.value_lengths().fill_null(0), dtype=np.int64)

@@ -42,7 +42,7 @@ def test_decode_of_any_ids_equals_the_library(library):
 
 
 def test_forgetting_words_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(C, "CACHE_WORDS", 3)
+    monkeypatch.setattr(C, "CACHE_BYTES", 300)
     monkeypatch.setattr(C, "ROUND_SYMBOLS", 10)
     c = C.PieceCodec(MODEL)
     for _ in range(2):
