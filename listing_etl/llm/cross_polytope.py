@@ -139,7 +139,6 @@ def _named(found: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def _exact(queries: np.ndarray, rows: DataFrame, k: int) -> DataFrame:
     """(query, row, score, vector): the best rows for a few queries, by number."""
-    kind = rows.schema["vector"].dataType.simpleString()
     d = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +159,8 @@ def _exact(queries: np.ndarray, rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(s)), top.shape[1])), pa.array(row[flat]), pa.array(np.take_along_axis(s, top, axis=1).ravel()),
                                               pa.array(list(x[flat])).cast(pa.list_(pa.float64()))], names=["query", "row", "score", "vector"])
 
-    return rows.select("row", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query long, row long, score double, vector array<double>") \
-        if kind != "array<double>" else rows.select("row", "vector").mapInArrow(run, "query long, row long, score double, vector array<double>")
+    wide = rows.select("row", F.col("vector").cast("array<double>").alias("vector"))
+    return wide.mapInArrow(run, "query long, row long, score double, vector array<double>")
 
 
 def needed_probes(queries: np.ndarray, owner: np.ndarray, near: np.ndarray, tables: int, target: float) -> int:
