@@ -28,7 +28,7 @@ b AS ({_shingles('benchmark', 'item_id')}),
 short AS (SELECT DISTINCT len(w) AS r FROM (SELECT {_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) BETWEEN 1 AND {WORDS - 1}),
 every AS (
   SELECT doc_id, s FROM d
-  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - r + 2), i -> array_to_string(w[i:i + r - 1], ' '))) AS s
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - r + 2), lambda i: array_to_string(w[i:i + r - 1], ' '))) AS s
   FROM (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IS NOT NULL), short WHERE len(w) >= r
 ),
 n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
