@@ -130,9 +130,10 @@ def _normal_tails(z: np.ndarray) -> np.ndarray:
 def battery(rows: np.ndarray, encoding: int) -> np.ndarray:
     """p-values (columns: uniformity, runs, serial correlation) of strings of one length and
     encoding (a matrix of bytes) under a uniform draw from the alphabet."""
-    v, k, n = _VALUE[encoding][rows].astype(np.float64), _SIZE[encoding], rows.shape[1]
-    cell = cells(encoding, n)
-    at, df = cell[v.astype(np.int64)], int(cell.max())
+    # a few bytes a character: a token may be as long as its text
+    v, k, n = _VALUE[encoding][rows], _SIZE[encoding], rows.shape[1]
+    cell = cells(encoding, n).astype(np.uint8)
+    at, df = cell[v], int(cell.max())
     chi = np.zeros(len(rows))
     for c in range(df + 1):
         expected = n * (cell == c).sum() / k
@@ -150,10 +151,13 @@ def battery(rows: np.ndarray, encoding: int) -> np.ndarray:
     spread = np.sqrt(np.maximum(both * (both - n), 1e-9) / (n * n * (n - 1.0)))
     z = np.maximum(np.abs(runs - 1 - both / n) - 0.5, 0) / np.maximum(spread, 1e-6)
     run_p = np.where(both > 0, _normal_tails(z), 1.0)     # one side only: the first test tells
-    d = v - v.mean(axis=1, keepdims=True)
-    power = (d * d).sum(axis=1)
-    r = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.maximum(power, 1e-9)
-    serial = np.where(power > 0, _normal_tails((r + 1 / n) * n * np.sqrt(n - 1.0) / (n - 2)), 1e-6)
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b, dtype=np.int64)
+    total = v.sum(axis=1, dtype=np.int64)
+    mean = total / n
+    power = dot(v, v) - n * mean * mean
+    ends = 2 * total - v[:, 0] - v[:, -1]                  # of both factors of the lagged products
+    r = (dot(v[:, 1:], v[:, :-1]) - mean * ends + (n - 1) * mean * mean) / np.maximum(power, 1e-9)
+    serial = np.where(power > 1e-6, _normal_tails((r + 1 / n) * n * np.sqrt(n - 1.0) / (n - 2)), 1e-6)
     return np.stack([uniform, run_p, serial], axis=1)
 
 
