@@ -13,11 +13,13 @@ the largest impact among the documents of the block. One row of the index is a c
 documents, and the summaries of its blocks.
 
 Search: the inner product of a query with a block's summary bounds the scores of all documents in
-the block. First the cells with the best bounds of each query are scored; the ``k``-th best score
-found is a floor that the true ``k``-th best cannot be below. Then all cells are visited in which
-a block's bound reaches the floor; inside, documents that stand in a block whose bound is below
-the floor are skipped, the others are scored. Nothing is skipped for any other reason, so the
-result is that of scoring every document.
+the block. First the cells whose blocks of the query's rarest terms have the best bounds are
+scored; the ``k``-th best score found is a floor that the true ``k``-th best cannot be below. Then
+all cells are visited in which a block's bound reaches the floor. There, lists whose largest
+contributions do not add up to the floor are left out: a document of these only cannot reach it. A
+document is skipped if it stands in none of the other lists, or in any block whose bound is below
+the floor; the others are scored. Nothing is skipped for any other reason, so the result is that
+of scoring every document.
 
 The queries' terms and weights are sent to the tasks, for ``PASS_ITEMS`` queries at a time: many
 queries are several passes over the documents, whose size bounds what is sent. Numbers of
@@ -51,7 +53,7 @@ CELL_ROWS = 256
 #: Queries of one pass over the documents.
 PASS_ITEMS = 1000
 #: Cells that give each query its floor.
-SEED_CELLS = 3
+SEED_CELLS = 12
 #: Cells in a file of the index (a cell takes about a megabyte).
 INDEX_ROWS = 8
 PLANES, SEED = 24, 11
@@ -220,19 +222,22 @@ def index(vectors: DataFrame, queries: Queries) -> DataFrame:
     return rows.groupBy("cell").applyInPandas(run, _CELL.format(kind="string"))
 
 
-def block_bounds(query: np.ndarray, weights: np.ndarray, lists: np.ndarray, begin: np.ndarray, term: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks of a cell in the lists of a query's terms (by number), and their bounds: the
-    inner products of the query with their summaries. ``weights``: 0 for terms of other queries."""
+def block_bounds(query: np.ndarray, weights: np.ndarray, lists: np.ndarray, begin: np.ndarray, term: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of a cell in the lists of a query's terms (by number), their bounds, the inner
+    products of the query with their summaries, and what the list's own term contributes at most.
+    ``weights``: 0 for terms of other queries."""
     at = np.searchsorted(lists, query)
     at = at[at < len(lists)]
     at = at[np.isin(lists[at], query)]
     at = np.unique(at)
     if not len(at):
-        return at, at
+        return at, at, at
     size = begin[at + 1] - begin[at]
     ends = np.cumsum(size)
     entry = np.arange(ends[-1]) + np.repeat(begin[at] - (ends - size), size)
-    return at, np.add.reduceat(weights[term[entry]] * most[entry], ends - size)
+    product = weights[term[entry]] * most[entry]
+    own = term[entry] == np.repeat(lists[at], size)
+    return at, np.add.reduceat(product, ends - size), product[own]
 
 
 class Scorer:
@@ -249,26 +254,32 @@ class Scorer:
         self.own[terms] = self.weights[terms]
         return self.own
 
-    def bounds(self, cell: dict, q: int) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, cell: dict, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return block_bounds(self.queries.terms[q], self.of_query(q), cell["list"], cell["begin"], cell["term"], cell["most"])
 
     def best(self, cell: dict, q: int, floor: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Documents (by number in the cell) and scores of a query that can be among its best ``k``, and the
         number of documents that were scored."""
-        at, bound = self.bounds(cell, q)
-        terms, values, first = cell["terms"], cell["impacts"], cell["first"]
-        stands = np.zeros(len(first) - 1, dtype=bool)
-        fails = np.zeros(len(first) - 1, dtype=bool)
-        low = np.zeros(len(self.weights), dtype=np.int8)       # 1: the term's block may hold one of the best, 2: it can't
-        low[cell["list"][at]] = np.where(bound >= floor, 1, 2)
-        mark = low[terms]
-        doc = cell["doc"]
+        at, bound, top = self.bounds(cell, q)
+        terms, values, first, doc = cell["terms"], cell["impacts"], cell["first"], cell["doc"]
+        order = np.argsort(top, kind="stable")
+        free = order[np.cumsum(top[order]) < floor]            # documents of these lists only cannot reach the floor
+        # 1: a document of the term's block may be one of the best, 2: it can't, 0: the block does not tell
+        tells = np.zeros(len(self.weights), dtype=np.int8)
+        tells[cell["list"][at]] = 1
+        tells[cell["list"][at[free]]] = 0
+        tells[cell["list"][at[bound < floor]]] = 2
+        mark = tells[terms]
+        stands, fails = np.zeros(len(first) - 1, dtype=bool), np.zeros(len(first) - 1, dtype=bool)
         stands[doc[mark == 1]] = True
         fails[doc[mark == 2]] = True
         wanted = np.flatnonzero(stands & ~fails)
         if not len(wanted):
             return wanted, wanted, 0
-        score = np.add.reduceat(self.own[terms] * values, first[:-1])[wanted]
+        size = first[wanted + 1] - first[wanted]
+        ends = np.cumsum(size)
+        entry = np.arange(ends[-1]) + np.repeat(first[wanted] - (ends - size), size)
+        score = np.add.reduceat(self.own[terms[entry]] * values[entry], ends - size)
         some = (score > 0) & (score >= floor)
         wanted, score, scored = wanted[some], score[some], len(wanted)
         if len(score) > k:
@@ -291,20 +302,28 @@ def _cells(b: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
 
 
 def cell_bounds(cells: DataFrame, queries: Queries, weights: np.ndarray) -> DataFrame:
-    """(q, cell, bound): the largest bound among a cell's blocks for each query that has one."""
+    """(q, cell, bound, lead): the largest bound among a cell's blocks for each query that has one, and
+    among those of the quarter of the query's terms that weigh most (0: none of them)."""
     shared = cells.sparkSession.sparkContext.broadcast((queries, weights))
+    schema = pa.schema([("q", pa.int32()), ("cell", pa.string()), ("bound", pa.int64()), ("lead", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        queries, weights = shared.value
+        scorer = Scorer(queries, weights)
+        rare = [np.quantile(weights[t], 0.75) if len(t) else 0 for t in queries.terms]
         for b in slices(batches):
             for i, cell in _cells(b):
-                found = [(q, int(bound.max())) for q in range(len(scorer.queries.ids)) for _, bound in [scorer.bounds(cell, q)] if len(bound)]
+                found = []
+                for q in range(len(queries.ids)):
+                    at, bound, _ = scorer.bounds(cell, q)
+                    if len(at):
+                        found.append((q, int(bound.max()), int(bound[weights[cell["list"][at]] >= rare[q]].max(initial=0))))
                 if found:
-                    q, bound = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array([b.column(0)[i].as_py()] * len(q), pa.string()), pa.array(bound, pa.int64())],
-                                                     names=["q", "cell", "bound"])
+                    q, bound, lead = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array([b.column(0)[i].as_py()] * len(q), pa.string()),
+                                                      pa.array(bound, pa.int64()), pa.array(lead, pa.int64())], schema=schema)
 
-    return cells.select("cell", "list", "begin", "term", "most").mapInArrow(run, "q int, cell string, bound long")
+    return cells.select("cell", "list", "begin", "term", "most").mapInArrow(run, "q int, cell string, bound long, lead long")
 
 
 def scored(cells: DataFrame, wanted: DataFrame, queries: Queries, weights: np.ndarray, k: int = K) -> DataFrame:
@@ -341,7 +360,7 @@ def _pass(docs: DataFrame, rows: list[tuple], item_type: T.DataType, key: str, t
     stats = statistics(counts, len(queries.vocabulary))
     cells = staged(index(placed(counts, stats, cell_rows), queries), "index", INDEX_ROWS)
     bounds = staged(cell_bounds(cells, queries, stats.weights), "bounds")
-    seeds = _first(bounds, seed_cells, [F.col("bound").desc(), "cell"]).select("cell", "q", F.lit(0).cast("long").alias("floor"))
+    seeds = _first(bounds, seed_cells, [F.col("lead").desc(), F.col("bound").desc(), "cell"]).select("cell", "q", F.lit(0).cast("long").alias("floor"))
     floors = _first(scored(cells, seeds, queries, stats.weights, k), k, [F.col("score").desc()]).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
     wanted = bounds.join(staged(floors, "floors"), "q", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
     found = scored(cells, staged(wanted.where(F.col("bound") >= F.col("floor")).select("cell", "q", "floor"), "visits"), queries, stats.weights, k)

@@ -113,13 +113,13 @@ def test_bounds_hold_every_score():
     weights[query] = [5, 7, 1, 9, 4]
     partners = [query if i in query else np.array([i]) for i in range(40)]
     lists, begin, term, most = L.summaries(first, t, v, partners)
-    at, bound = L.block_bounds(query, weights, lists, begin, term, most)
+    at, bound, own = L.block_bounds(query, weights, lists, begin, term, most)
     assert lists[at].tolist() == sorted(set(query.tolist()) & set(t.tolist()))
-    for x, b in zip(lists[at], bound):
+    for x, b, o in zip(lists[at], bound, own):
         members = [i for i in range(30) if x in parts[i]]
         # the summary is the largest impact of each coordinate among the members of the list
         tops = {y: max((values[i][parts[i].tolist().index(y)] for i in members if y in parts[i]), default=0) for y in query.tolist()}
-        assert b == sum(weights[y] * n for y, n in tops.items())
+        assert b == sum(weights[y] * n for y, n in tops.items()) and o == weights[x] * tops[x]
         assert all(b >= sum(weights[y] * n for y, n in zip(parts[i].tolist(), values[i].tolist())) for i in members)
 
 
