@@ -11,7 +11,7 @@ from listing_etl.llm.common import prepare, staged, table
 from listing_etl.session import scratch_path
 
 SHARDS = 40
-SEGMENT_BYTES, FILE_RECORDS = 2 << 10, 10_000
+SEGMENT_BYTES, FILE_RECORDS = 4 << 10, 10_000
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -87,7 +87,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = scratch_path(spark, "archives")
-    # small segments: most pages are put together again from several
+    # small segments: the longer pages, with most of the bytes, are put together again from several
     warc.write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=SEGMENT_BYTES, file_records=FILE_RECORDS)
     records = warc.reassemble(warc.read_records(spark, path))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*):[0-9]+>$", 1)

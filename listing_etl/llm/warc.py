@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     prepare(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     # numbers and digests are written down once; payloads move once, by numbers, of which none is hot
-    rows = staged(rows.withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id()), "pages")
+    rows = staged(rows.withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id()), "pages", codec="zstd")
     own = rows.where(F.col("key").isNotNull()).select("key", "row", "digest")
     first = staged(own.groupBy("digest").agg(F.max(F.struct("key", "row")).alias("first")), "payloads")
     refers = own.join(first, "digest").where(F.col("key") < F.col("first.key")).select(
