@@ -258,7 +258,7 @@ def laid_out(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(content, pa.int64()), pa.array([x for x, _ in laid], pa.list_(pa.string())),
                                               pa.array(boxes, _BOX)], names=["key", "url", "row", "host", "content", "blocks", "boxes"])
 
-    return staged(rows.mapInArrow(run, f"key {kind}, url string, {_LAID}"), "layouts")
+    return staged(rows.mapInArrow(run, f"key {kind}, url string, {_LAID}"), "layouts", codec="zstd")
 
 
 def _boxes(laid: DataFrame) -> DataFrame:
