@@ -37,10 +37,12 @@ import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import partial
+from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +67,34 @@ BROADCAST_GRAMS = 2_000_000
 CACHE_BYTES = 32 << 20
 #: Bytes of distinct words, and number of n-grams, that a task holds before it passes n-grams on.
 COUNT_BYTES, COUNT_GRAMS = 16 << 20, 200_000
+#: Characters of words, and n-grams, that are worked on at once.
+PIECE = 1 << 18
 THRESHOLD = 0.7
 
 _START, _END = chr(2), chr(3)    # control characters, which no word has
 #: Values of n-grams are summed as whole numbers of this fraction: in any order the same sum.
 _UNIT = float(1 << 32)
 words_of = re.compile(r"[^\W\d_]+").findall
+#: Letters of ASCII in lower case, all other bytes as spaces.
+_ASCII = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point: itself if words have it, else a space."""
+    found = _points("".join(words_of("".join(map(chr, range(sys.maxunicode + 1))))))
+    out = np.full(sys.maxunicode + 1, 32, dtype="<u4")
+    out[found] = found
+    return out
 
 
 def split(text: str | None) -> list[str]:
-    return words_of((text or "").lower())
+    """``words_of`` the text in lower case: what no word has becomes a space, in one step."""
+    text = text or ""
+    if text.isascii():
+        return text.encode("ascii").translate(_ASCII).decode("ascii").split()
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return _letters()[points].tobytes().decode("utf-32-le").split()
 
 
 def held_bytes(words: Iterable[str]) -> int:
@@ -90,9 +110,54 @@ def spelled(words: list[str]) -> tuple[dict[int, np.ndarray], list[int]]:
     return {ORDER: np.array(grams, dtype=object)}, [i for i, w in enumerate(words) for _ in range(len(w) + 1)]
 
 
-def _grams_of(word: str) -> Iterator[str]:
-    t = _START * (ORDER - 1) + word + _END
-    return (t[i:i + ORDER] for i in range(len(t) - ORDER + 1))
+def _pieces(words: Iterable[str]) -> Iterator[tuple[list[str], str]]:
+    """The words in lists of about ``PIECE`` characters, and their spelling one after another."""
+    start, part, size = _START * (ORDER - 1), [], 0
+    for w in words:
+        if part and size + len(w) > PIECE:
+            yield part, start + (_END + start).join(part) + _END
+            part, size = [], 0
+        part.append(w)
+        size += len(w)
+    if part:
+        yield part, start + (_END + start).join(part) + _END
+
+
+def grams_of(words: Iterable[str]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The n-grams of the highest order in these words, and the number of the word of each, in parts."""
+    done = 0
+    for part, text in _pieces(words):
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        ends = np.flatnonzero(points != ord(_START))
+        word = done + np.repeat(np.arange(len(part)), [len(w) + 1 for w in part])
+        done += len(part)
+        for i in range(0, len(ends), PIECE):
+            at = ends[i:i + PIECE]
+            every = sliding_window_view(points, ORDER)[at - (ORDER - 1)].tobytes().decode("utf-32-le")
+            data = np.frombuffer(every.encode(), dtype=np.uint8)
+            first = np.flatnonzero((data & 0xC0) != 0x80)[::ORDER]        # bytes at which a character begins
+            offsets = np.append(first, len(data)).astype(np.int32)
+            yield pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), word[i:i + PIECE]
+
+
+def _merged(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal ``gram`` as one, their other columns summed, as far as a task can hold them."""
+    held: list[pa.Table] = []
+
+    def together() -> pa.Table:
+        names = held[0].column_names
+        t = pa.concat_tables(held).group_by("gram", use_threads=False).aggregate([(c, "sum") for c in names[1:]])
+        return t.select(["gram", *(f"{c}_sum" for c in names[1:])]).rename_columns(names)
+
+    for p in parts:
+        held.append(p)
+        if sum(t.num_rows for t in held) > 5 * COUNT_GRAMS:
+            held = [together()]
+            if held[0].num_rows > COUNT_GRAMS:
+                yield from held[0].to_batches()
+                held = []
+    if held:
+        yield from together().to_batches()
 
 
 def _grams(df: DataFrame) -> DataFrame:
@@ -122,60 +187,49 @@ def _points(text: str) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) rows to documents by n-gram and class; memory is bounded by passing on."""
-    held: Counter = Counter()
-    size = 0
-
-    def passed() -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for (w, toxic), n in held.items():
-            for g in _grams_of(w):
-                sums.setdefault(g, [0, 0])[toxic] += n
-                if len(sums) > COUNT_GRAMS:
-                    yield batch(sums)
-                    sums.clear()
-        yield batch(sums)
-        held.clear()
-
-    def batch(sums: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([n[c] for n in sums.values()], pa.int64()) for c in (0, 1))],
-                                          names=["gram", "c0", "c1"])
-
-    for b in slices(batches, 1 << 20):
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words = set(split(text))
-            size += held_bytes(words)          # words that are held already count again: it flushes early, never late
-            held.update([(w, toxic) for w in words])
-            if size > 4 * COUNT_BYTES:
-                yield from passed()
-                size = 0
-    if held:
+    held = Counter(), Counter()
+
+    def passed() -> Iterator[pa.Table]:
+        words = list(held[0].keys() | held[1].keys())
+        n = [np.fromiter((h.get(w, 0) for w in words), dtype=np.int64, count=len(words)) for h in held]
+        for h in held:
+            h.clear()
+        for grams, word in grams_of(words):
+            yield pa.table({"gram": grams, "c0": n[0][word], "c1": n[1][word]})
+
+    def parts() -> Iterator[pa.Table]:
+        size = 0
+        for b in slices(batches, 1 << 20):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = set(split(text))
+                size += held_bytes(w for w in words if w not in held[toxic])
+                held[toxic].update(words)
+                if size > 4 * COUNT_BYTES:
+                    yield from passed()
+                    size = 0
         yield from passed()
 
+    return _merged(parts())
+
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) rows to the n-grams of their words, each once in a while."""
-    seen, held, size = set(), set(), 0
-
-    def passed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["gram"])
-        held.clear()
-        return out
-
-    for b in slices(batches, 1 << 20):
-        for text in b.column(0).to_pylist():
-            new = set(split(text)) - seen
-            seen |= new
-            size += held_bytes(new)
-            for w in new:
-                for g in _grams_of(w):
-                    held.add(g)
-                    if len(held) > COUNT_GRAMS:
-                        yield passed()
+    def parts() -> Iterator[pa.Table]:
+        seen, size = set(), 0
+        for b in slices(batches, 1 << 20):
+            words = set()
+            for text in b.column(0).to_pylist():
+                words.update(split(text))
+            words = words - seen
+            seen |= words
+            size += held_bytes(words)
+            for grams, _ in grams_of(words):
+                yield pa.table({"gram": grams})
             if size > COUNT_BYTES:
                 seen.clear()
                 size = 0
-    if held:
-        yield passed()
+
+    return _merged(parts())
 
 
 def _discounted(count: Column, total: Column, kinds: Column, below: Column, strength: float = 0.0) -> Column:
@@ -357,34 +411,27 @@ class Lexicon:
 
     def _values_at(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), dtype=np.int64)
-        for i in range(0, len(at), 1 << 18):
-            h = _hashed(points, at[i:i + (1 << 18)])
+        for i in range(0, len(at), PIECE):
+            h = _hashed(points, at[i:i + PIECE])
             where = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             if (self.hashes[where] != h).any():
                 raise ValueError("the documents changed while they were scored")
-            out[i:i + (1 << 18)] = self.values[where]
+            out[i:i + PIECE] = self.values[where]
         return out
 
     def _learn(self, words: list[str]) -> None:
-        part, size = [], 0
-        for w in [*words, None]:
-            if part and (w is None or size + len(w) > 1 << 19):
-                start = _START * (ORDER - 1)
-                points = _points(start + (_END + start).join(part) + _END)
-                each = self._values_at(points, np.flatnonzero(points != ord(_START)))
-                first = np.r_[0, np.cumsum([len(x) + 1 for x in part])[:-1]]
-                self.known.update(zip(part, np.add.reduceat(each, first).tolist()))
-                part, size = [], 0
-            if w is not None:
-                part.append(w)
-                size += len(w)
+        for part, text in _pieces(words):
+            points = _points(text)
+            each = self._values_at(points, np.flatnonzero(points != ord(_START)))
+            first = np.r_[0, np.cumsum([len(x) + 1 for x in part])[:-1]]
+            self.known.update(zip(part, np.add.reduceat(each, first).tolist()))
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The values of each text's words."""
         words = [split(t) for t in texts]
         if self.held > CACHE_BYTES:
             self.forget()
-        new = [w for w in dict.fromkeys(w for s in words for w in s) if w not in self.known]
+        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.known]
         self.held += held_bytes(new)
         self._learn(new)
         for s in words:

@@ -248,3 +248,34 @@ def test_texts_of_insults_only_are_toxic(spark):
     model = T.fit(spark.createDataFrame(corpus(), "id long, text string, toxic int"))
     s = model.score(["zgrokabd", "zgrokabd zgrokabd zgrokabd", "zgrokfeg zgrokbad zgrokdef zgrokgag", "zgrokabd zgrokfeg " * 500, "", corpus()[1][1]])
     assert (s[:4] >= T.THRESHOLD).all() and (s[4:] < T.THRESHOLD).all()
+
+
+def test_words_that_repeat_are_spelled_once(monkeypatch):
+    """What a task holds already takes no room again: many documents of the same words give each
+    n-gram in one row, with the right counts."""
+    monkeypatch.setattr(T, "COUNT_BYTES", 1 << 14)
+    words = [a + b + "x" for a in "abcdefgh" for b in "ijklmnop"]
+    texts, toxic = [" ".join(words)] * 300 + [None, "ÉÀ ab"], [0, 0, 1] * 100 + [1, 0]
+    batches = T.pa.table({"text": texts, "toxic": toxic}).to_batches(max_chunksize=50)
+    got = [r for b in T._count(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = {}
+    for text, y in zip(texts, toxic):
+        for w in set(T.words_of((text or "").lower())):
+            for g in T.spelled([w])[0][T.ORDER].tolist():
+                want.setdefault(g, [0, 0])[y] += 1
+    assert len(got) == len(want) and {g: [a, b] for g, a, b in got} == want
+    seen = [g for b in T._distinct(iter(batches)) for g in b.column(0).to_pylist()]
+    assert sorted(seen) == sorted(want)
+
+
+def test_words_and_ngrams_in_one_step_equal_the_plain_ones(monkeypatch):
+    monkeypatch.setattr(T, "PIECE", 7)
+    texts = [None, "", "It's 3 O'CLOCK_now\tx\x02y\x03z\x1cw", "Straße ΟΔΟΣ ١٢ ª²½ İı\xa0 é", "𝔘𝔫𝔦 𐐀x 日本語テキスト", "a" * 40 + " é" * 9,
+             "".join(map(chr, range(0x3000))), "".join(map(chr, range(0x10000, 0x12000)))]
+    words = []
+    for t in texts:
+        assert T.split(t) == T.words_of((t or "").lower())
+        words += T.split(t)
+    want, of = T.spelled(words)
+    got = [(g, i) for grams, word in T.grams_of(words) for g, i in zip(grams.to_pylist(), word.tolist())]
+    assert got == list(zip(want[T.ORDER].tolist(), of))
